@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import fixed
-from ..functions.cell_types import is_summable
+from ..functions.cell_types import cell_value, is_summable
 from ..sources.tables import TABLE_KEY
 
 
@@ -102,41 +101,64 @@ def total_links(pathed: DataFrame) -> DataFrame:
     every cell is looked at once per kind, and no pair is formed to be dropped.
     Pass a stored table: titles, totals and data are picked from it separately.
     """
-    headed = pathed.select(*TABLE_KEY, "cell_no", "role", "type", "detail", "p_row", "p_col",
-                           "p_colspan", "covers", "beside", "signatures",
-                           nearest("header_path")["no"].alias("title_no"), "header_path")
-    summable = header_types(headed.withColumn("row", F.lit(0)).withColumn("col", F.lit(0))) \
-        .select(*TABLE_KEY, "title_no", "summable")
-    totals = total_signatures(headed)
-    counted = (totals.join(summable, [*TABLE_KEY, "title_no"], "left")
-               .withColumn("counts", (F.col("type") == "GENUINE") & F.col("title_no").isNotNull()
-                           & F.coalesce("summable", F.lit(True))))
-
-    event = "struct<total:int>"
+    numbers_only = is_summable(F.col("detail")) | (F.col("detail") == "NO_DATA")
+    summable = (title_data(pathed).groupBy(*TABLE_KEY, "title_no")
+                .agg(F.bool_and(numbers_only).alias("summable")))
+    cell = F.struct(F.col("cell_no").alias("no"), "row", "col", "text", "detail", "gt_id",
+                    F.col("p_row").alias("line"))
+    totals = total_signatures(pathed.withColumn("title_no", nearest("header_path")["no"]))
+    counts = ((F.col("type") == "GENUINE") & F.col("title_no").isNotNull()
+              & F.coalesce("summable", F.lit(True)))
+    nothing = F.struct(F.lit(None).cast("struct<no:int,row:int,col:bigint,text:string,"
+                       "detail:string,gt_id:string,line:int>").alias("total"))
+
     result_events = (
-        counted.where(F.col("signature").isNotNull())
-        .select(*TABLE_KEY, "cell_no", "counts", "signature", "p_col", "p_row", "line",
+        totals.where(F.col("signature").isNotNull())
+        .join(summable, [*TABLE_KEY, "title_no"], "left")
+        .withColumn("counts", counts).withColumn("cell", cell)
+        .select(*TABLE_KEY, "cell", "counts", "signature", "p_col", "p_row", "line",
                 F.explode("covers").alias("s"))
         .select(*TABLE_KEY, F.col("s.col").alias("column"), "signature", F.col("line").alias("at"),
                 F.struct(F.when(F.col("counts") & (F.col("s.col") == F.col("p_col"))
-                                & (F.col("line") == F.col("p_row")), F.col("cell_no"))
-                         .alias("total")).cast(event).alias("event"),
-                F.lit(None).cast("int").alias("data_no")))
+                                & (F.col("line") == F.col("p_row")), F.col("cell"))
+                         .alias("total")).alias("event"),
+                F.lit(None).alias("data")))
     others = (
-        headed.where(F.col("role").isin("data", "title"))
-        .select(*TABLE_KEY, "cell_no", "role", "covers", F.explode("signatures").alias("signature"))
-        .select(*TABLE_KEY, "cell_no", "role", "signature", F.explode("covers").alias("s"))
+        pathed.where(F.col("role").isin("data", "title"))
+        .withColumn("cell", cell)
+        .select(*TABLE_KEY, "cell", "role", "covers", F.explode("signatures").alias("signature"))
+        .select(*TABLE_KEY, "cell", "role", "signature", F.explode("covers").alias("s"))
         .select(*TABLE_KEY, F.col("s.col").alias("column"), "signature",
                 F.col("s.last").alias("at"),
-                F.when(F.col("role") == "title", F.struct(F.lit(None).alias("total")).cast(event))
-                .alias("event"),
-                F.when(F.col("role") == "data", F.col("cell_no")).alias("data_no")))
+                F.when(F.col("role") == "title", nothing).alias("event"),
+                F.when(F.col("role") == "data", F.col("cell")).alias("data")))
     below = (Window.partitionBy(*TABLE_KEY, "column", "signature").orderBy(F.desc("at"))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (result_events.unionByName(others)
+    return (others.unionByName(result_events)
             .withColumn("met", F.last("event", ignorenulls=True).over(below))
-            .where(F.col("data_no").isNotNull() & F.col("met.total").isNotNull())
-            .select(*TABLE_KEY, F.col("met.total").alias("total_no"), "data_no"))
+            .where(F.col("data").isNotNull() & F.col("met.total").isNotNull())
+            .select(*TABLE_KEY, F.col("met.total").alias("total"), "data"))
+
+
+def total_contents(links: DataFrame) -> DataFrame:
+    """Each total with the cells it sums, top to bottom as read: part of its export."""
+    return (links.groupBy(*TABLE_KEY, F.col("total.no").alias("cell_no"))
+            .agg(F.array_sort(F.collect_list(F.struct(
+                F.col("data.line").alias("line"), F.col("data.row").alias("row"),
+                F.col("data.col").alias("col"), F.col("data.gt_id").alias("gt_id"))))
+                .alias("summed")))
+
+
+def audit_totals(links: DataFrame) -> DataFrame:
+    """Stated totals against the sum of what they cover, where both are plain numbers."""
+    stated = cell_value(F.col("total.detail"), F.col("total.text"))
+    value = cell_value(F.col("data.detail"), F.col("data.text"))
+    return (links.withColumn("stated", stated).withColumn("value", value)
+            .groupBy(*TABLE_KEY, F.col("total.row").alias("row"), F.col("total.col").alias("col"))
+            .agg(F.first("stated").alias("stated"), F.sum("value").alias("summed"),
+                 F.count("*").alias("n_cells"))
+            .where(F.col("stated").isNotNull())
+            .withColumn("diff", F.col("stated") - F.col("summed")))
 
 
 def last_filled_above() -> Column:

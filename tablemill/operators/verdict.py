@@ -10,16 +10,12 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from .. import fixed
 from ..functions.cell_types import column_kind
 from ..sources.tables import TABLE_KEY, type_tables
 
-_ARG = "struct<k:bigint,what:string>"
-_PLACED = ("struct<k:int,role:string,p_row:int,p_col:bigint,p_rowspan:int,p_colspan:int,"
-           "slots:array<struct<row:int,col:bigint>>>")
-_JUDGED = (f"struct<kind:string,code:string,block:string,args:array<{_ARG}>,attempt:string,"
-           f"p_overlaps:boolean,cells:array<{_PLACED}>>")
 _ARROW_JUDGED = pa.struct([
     ("kind", pa.string()), ("code", pa.string()), ("block", pa.string()),
     ("args", pa.list_(pa.struct([("k", pa.int64()), ("what", pa.string())]))),
@@ -30,7 +26,7 @@ _ARROW_JUDGED = pa.struct([
         ("slots", pa.list_(pa.struct([("row", pa.int32()), ("col", pa.int64())])))])))])
 
 
-@F.arrow_udf(_JUDGED)
+@F.arrow_udf(from_arrow_type(_ARROW_JUDGED))
 def _read_lines(rows: pa.Array) -> pa.Array:
     from .rules import judge
     return pa.array([judge(r) if r is not None else None for r in rows.to_pylist()],
@@ -273,8 +269,8 @@ def roles(judged: DataFrame) -> DataFrame:
     """One row per cell of a genuine table.
 
     Place on the page (row, col, spans), place as read (``p_``), role and type,
-    ``covers``/``beside`` (columns and lines it covers as read) and the table's
-    ``signatures``: start and width of the labels of its total lines.
+    ``covers``/``beside`` (columns and lines it covers as read) and the table's size
+    and ``signatures``: start and width of the labels of its total lines.
     """
     key = [c for c in judged.columns if c in TABLE_KEY + ["kind"]]
     placed, flat = F.col("placed"), F.col("flat")
@@ -287,12 +283,15 @@ def roles(judged: DataFrame) -> DataFrame:
              .withColumn("flat", F.flatten("rows"))
              .withColumn("starts", starts)
              .withColumn("last_row", F.array_max(F.transform(placed, lambda p: p["p_row"])))
-             .withColumn("signatures", signatures))
+             .withColumn("signatures", signatures)
+             .withColumn("height", F.size("rows"))
+             .withColumn("width", F.array_max(F.transform(
+                 flat, lambda c: c["col"] + F.greatest(c["colspan"], F.lit(1))))))
     cells = F.transform(placed, lambda p: F.struct(
         p.alias("p"), flat[p["k"]].alias("c"),
         _covers(p, F.col("starts"), F.col("last_row")).alias("covers"),
         _beside(p, F.col("last_row")).alias("beside")))
-    whole = ["orientation", "signatures"]
+    whole = ["orientation", "height", "width", "signatures"]
     return (ready.select(*key, *whole, F.explode(cells).alias("x"))
             .select(*key, *whole, F.col("x.p.k").alias("cell_no"),
                     F.coalesce("x.p.role", F.lit("NOT_DEFINE")).alias("role"),

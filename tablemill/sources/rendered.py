@@ -18,6 +18,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer splits than cores, such as one small file.
+
+    Large inputs come in more splits than cores and are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _pages(rows: DataFrame, kind: str, key: str, body: Column) -> DataFrame:
     page_id = F.col(key) * len(KINDS) + KINDS.index(kind)
     return rows.select(
@@ -92,7 +101,8 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("<tr><td colspan=3>Total</td><td>"),
                  total(F.col("facts"), "words").cast("string"), F.lit("</td><td>"),
                  stated.cast("string"), F.lit("</td></tr>")))
-    docs = load(spark, sf_dir, "documents").select("doc_id", facts.alias("facts"))
+    docs = (spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+            .select("doc_id", facts.alias("facts")))
     return _pages(docs, "document", "doc_id", body)
 
 
@@ -110,7 +120,7 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _row("Status", F.concat(F.lit("<i>"), F.col("o_orderstatus"), F.lit("</i>"))),
         _row("Price", money(F.col("o_totalprice"))),
         _row("Priority", F.col("o_orderpriority")))
-    return _pages(load(spark, sf_dir, "orders"), "order", "o_orderkey", body)
+    return _pages(spread(load(spark, sf_dir, "orders")), "order", "o_orderkey", body)
 
 
 def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +129,7 @@ def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``nation`` and ``region`` are dimension tables; the engine decides by their
     size whether to broadcast them.
     """
-    rows = (load(spark, sf_dir, "customer")
+    rows = (spread(load(spark, sf_dir, "customer"))
             .join(load(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
             .join(load(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey")))
     body = _table(
@@ -139,20 +149,21 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     link = F.concat(F.lit('<a href="#">'), kind, F.lit("</a>"))
     img, head = '<td><img src="a.png"></td>', _row("Name", "Value", tag="th")
+    noted = _row("Name", "Value", "Note", tag="th")
     shapes = [
         _table(head, _row("first", v), _row("second", v)),                           # 0 genuine
         _table(head, _row("first", "n/a"), _row("second", v), _row("third", v)),     # 1 genuine
         _table(head, _row("first", link), _row("second", kind)),                     # 2 genuine
         _table(head, _row("first", img), _row("second", img)),                       # 3 genuine
-        _table(head, _row("first", v), _row("second", img), _row("third", v)),       # 4 DataType
+        _table(noted, _row("first", v, kind), _row("second", img, kind)),            # 4 DataType
         _table(_row("<td><button>Go</button></td>", "Value"), _row("first", v),
                _row("second", v)),                                                   # 5 TitleType
-        _table(head, _row("first", F.concat(v, F.lit("%"))),
-               _row("second", F.concat(F.lit("$"), v)), _row("third", v)),           # 6 DataType
+        _table(noted, _row("first", F.concat(v, F.lit("%")), kind),
+               _row("second", F.concat(F.lit("$"), v), kind)),                       # 6 DataType
         _table(head, _row("first", "12:30"), _row("second", "14:05:10")),            # 7 genuine
         _table(head, _row("first", v), _row("second", '<td rowspan=4>7</td>'),
                _row("third")),                                                       # 8 Layout
-        _table(head, _row("first", v, "extra"), _row("second", v)),                  # 9 Layout
+        _table(noted, _row("first", v), _row("second", v)),                          # 9 Layout
         _table(_row("first", v, "second", v)),                                       # 10 too small
         _table(_row("Menu", "Page"), _row(_table(head, _row("first", v),
                _row("second", v)), link)),                                           # 11 nested
@@ -163,14 +174,13 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(_row("Group", "Case", "Value", tag="th"),
                F.concat(F.lit("<tr><td rowspan=2>A</td><td>one</td><td>"), v, F.lit("</td></tr>")),
                _row("two", v), _row("<td colspan=2>plain</td>", link)),              # 15 DataType
-        _table(head, _row("first", v), _row("", v), _row("third", kind)),            # 16 DataType
+        _table(head, _row("first", v), _row("", v), _row("third", kind)),            # 16 genuine, left
         _table(_row("Group", "Case", "Value", tag="th"),
                F.concat(F.lit("<tr><td rowspan=2>A</td><td>one</td><td>"), v, F.lit("</td></tr>")),
                _row("two", v),
                F.concat(F.lit("<tr><td colspan=2>alone</td><td>"), v, F.lit("</td></tr>")),
-               _row("B", "three", v)),                                               # 17 see below
-        _table(_row("Name", "Value", "Note", tag="th"),
-               _row("first", v, '<td><input type="text"></td>'),
+               _row("B", "three", v)),                                               # 17 genuine
+        _table(noted, _row("first", v, '<td><input type="text"></td>'),
                _row("second", v, "<td><select></select></td>")),                     # 18 genuine
         _table(_row("Name", "<td>2024</td>"), _row("first", kind),
                _row("<td><video></video></td>", kind)),                              # 19 TitleType
@@ -179,7 +189,7 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, shape in enumerate(shapes):
         test = F.col("event_id") % VARIANTS == n
         body = F.when(test, shape) if body is None else body.when(test, shape)
-    return _pages(load(spark, sf_dir, "events"), "event", "event_id", body)
+    return _pages(spread(load(spark, sf_dir, "events")), "event", "event_id", body)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,17 +6,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from .. import fixed
 from ..functions import cell_types
 
 TABLE_KEY = ["page_id", "table_idx"]
 
-_CELL = ("struct<node:int,tag:string,text:string,tags:array<string>,rowspan:int,colspan:int,"
-         "row:int,col:bigint,home_row:int,home_col:bigint,gt_id:string,style:string,at:int,at_len:int>")
-_TABLE = (f"struct<table_idx:int,status:string,problem:string,at:int,at_len:int,style:string,"
-          f"overlaps:boolean,rows:array<array<{_CELL}>>>")
-
 _ARROW_CELL = pa.struct([
     ("node", pa.int32()), ("tag", pa.string()), ("text", pa.string()),
     ("tags", pa.list_(pa.string())), ("rowspan", pa.int32()), ("colspan", pa.int32()),
@@ -28,7 +24,7 @@ _ARROW_TABLES = pa.list_(pa.struct([
     ("overlaps", pa.bool_()), ("rows", pa.list_(pa.list_(_ARROW_CELL)))]))
 
 
-@F.arrow_udf(f"array<{_TABLE}>")
+@F.arrow_udf(from_arrow_type(_ARROW_TABLES))
 def html_tables(html: pa.Array) -> pa.Array:
     """Tables of each page; the only place where markup is read."""
     from .markup import page_tables
@@ -117,8 +113,15 @@ def extract_cells(tables: DataFrame) -> DataFrame:
             .select(*key, "height", "first_width", "src_row", "src_idx", "c.*"))
 
 
-@F.udtf(returnType="table_idx int, src_row int, src_idx int, tag string, text string, "
-                   "tags array<string>, rowspan int, colspan int, row int, col bigint")
+_UDTF_ROW = T.StructType([
+    T.StructField(name, kind) for name, kind in [
+        ("table_idx", T.IntegerType()), ("src_row", T.IntegerType()),
+        ("src_idx", T.IntegerType()), ("tag", T.StringType()), ("text", T.StringType()),
+        ("tags", T.ArrayType(T.StringType())), ("rowspan", T.IntegerType()),
+        ("colspan", T.IntegerType()), ("row", T.IntegerType()), ("col", T.LongType())]])
+
+
+@F.udtf(returnType=_UDTF_ROW)
 class HtmlCells:
     """``SELECT .. FROM pages, LATERAL html_cells(html)`` for SQL users."""
 
