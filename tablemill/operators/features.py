@@ -12,11 +12,13 @@ from .verdict import is_genuine
 
 def type_fractions(typed: DataFrame) -> DataFrame:
     """Shares of the seven types over all cells, repeated ones counted; -1 without cells."""
-    types = F.transform(F.flatten("rows"), lambda c: c["type"])
     n = F.size("_types")
-    shares = [F.when(n == 0, F.lit(-1.0)).otherwise(
-        F.size(F.filter("_types", lambda t, name=name: t == name)) / n).alias(feature)
-        for name, feature in fixed.FEATURE_OF_TYPE.items()]
+
+    def share(name):
+        return F.size(F.filter("_types", lambda t: t == name)) / n
+    shares = [F.when(n == 0, F.lit(-1.0)).otherwise(share(name)).alias(feature)
+              for name, feature in fixed.FEATURE_OF_TYPE.items()]
+    types = F.transform(F.flatten("rows"), lambda c: c["type"])
     rest = [c for c in typed.columns if c not in ("rows", "placed")]
     return typed.withColumn("_types", types).select(*rest, *shares)
 

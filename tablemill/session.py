@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,10 +29,17 @@ def build_session(master: str | None = None, app: str = "tablemill", **conf) ->
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Keep the batches sent to Python small: one page may be many megabytes."""
+    """Keep the batches sent to Python small, as one page may be many megabytes, and
+    let the executors have this package."""
     limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(limit)) > 512:
         spark.conf.set(limit, "512")
+    if not getattr(spark.sparkContext, "_tablemill", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        into = os.path.join(tempfile.mkdtemp(), "tablemill")
+        spark.sparkContext.addPyFile(shutil.make_archive(
+            into, "zip", os.path.dirname(package), os.path.basename(package)))
+        spark.sparkContext._tablemill = True
     return spark
 
 

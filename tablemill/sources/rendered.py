@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 KINDS = ["document", "order", "customer", "event"]
 BLOCK = 5              # lines of a document between two subtotals
-VARIANTS = 20          # shapes that events cycle through
+VARIANTS = 24          # shapes that events cycle through
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,7 @@ def _pages(rows: DataFrame, kind: str, key: str, body: Column) -> DataFrame:
 
 
 def _row(*cells, tag: str = "td") -> Column:
+    """A row of cells; a text that begins with a cell tag is taken as it is."""
     parts = [F.lit("<tr>")]
     for cell in cells:
         if isinstance(cell, str) and cell.startswith("<t"):
@@ -144,7 +145,7 @@ def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per event a table in one of twenty shapes: good ones and every way to fail."""
+    """Per event a table in one of 24 shapes: good ones and every way to fail."""
     v = F.round(F.col("value") * 100).cast("long").cast("string")
     kind = F.col("event_type")
     link = F.concat(F.lit('<a href="#">'), kind, F.lit("</a>"))
@@ -184,6 +185,14 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                _row("second", v, "<td><select></select></td>")),                     # 18 genuine
         _table(_row("Name", "<td>2024</td>"), _row("first", kind),
                _row("<td><video></video></td>", kind)),                              # 19 TitleType
+        _table(_row('<th colspan="2">Name</th>', "Value", tag="th"),
+               _row('<td colspan="2">first</td>', v), _row("one", "two", v)),        # 20 genuine
+        _table(_row("Group", "Case", "Value", tag="th"),
+               _row('<td rowspan="2">A</td>', "one", kind), _row("two", kind),
+               _row('<td colspan="2">plain</td>', link)),                            # 21 genuine
+        _table(head, _row('<td rowspan="3">first</td>', v), _row(v), _row(v)),       # 22 Layout
+        _table(head, F.concat(F.lit('<tr><td>first</td><td rowspan="0">'), v, F.lit("</td></tr>")),
+               _row("second", v), _row("third", v)),                                 # 23 error
     ]
     body = None
     for n, shape in enumerate(shapes):
