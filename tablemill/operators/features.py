@@ -49,11 +49,18 @@ def matrix_digest(feature_rows: DataFrame) -> DataFrame:
 
 
 def correlations(feature_rows: DataFrame) -> DataFrame:
-    """Pearson correlation of every two features over consistent tables, in one pass."""
+    """Pearson correlation of every two features over consistent tables, in one pass;
+    null for a feature that never varies."""
     names = fixed.FEATURES
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    values = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                       F.corr(a, b).alias("r")) for a, b in pairs]
-    row = feature_rows.where("consistency = 1").agg(F.array(*values).alias("all"))
-    return (row.select(F.explode("all").alias("x")).select("x.*")
-            .withColumn("r", F.when(~F.isnan("r"), F.col("r"))))
+    sums = (feature_rows.where("consistency = 1")
+            .agg(*[F.var_pop(f).alias(f"v_{f}") for f in names],
+                 *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs]))
+
+    def r(a, b):
+        both = F.col(f"v_{a}") * F.col(f"v_{b}")
+        varies = (F.col(f"v_{a}") > 1e-12) & (F.col(f"v_{b}") > 1e-12)
+        return F.when(varies, F.col(f"c_{a}_{b}") / F.sqrt(both))
+    rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                     r(a, b).alias("r")) for a, b in pairs]
+    return sums.select(F.explode(F.array(*rows)).alias("x")).select("x.*")

@@ -8,34 +8,46 @@ structure and links is decided in Spark.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
+from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
 
 from ..functions.spans import place
 
+# ---------------------------------------------------------------- fixed values: tags
 VOID = frozenset(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr "
     "basefont bgsound command frame image isindex nextid spacer".split())
 SILENT = frozenset(["script", "style", "template", "rt", "rp"])   # their text is no cell text
+RAW = ("script", "style")                                         # no tags inside
 SPAN_MAX = 2 ** 31 - 1
 
+# Well-formed markup, one token at a time. A page with anything else is left to
+# the standard library's reader, whose results on these tokens are the same.
+TOKEN = re.compile(
+    r"""(?P<text>[^<&]+)
+      | <(?P<start>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:\s+[a-zA-Z][a-zA-Z0-9:_-]*
+            (?:=(?:"[^"]*"|'[^']*'|[^\s"'<>=`/&]+))?)*)\s*(?P<empty>/?)>
+      | </(?P<end>[a-zA-Z][a-zA-Z0-9]*)\s*>
+      | &(?P<entity>[a-zA-Z][a-zA-Z0-9]*);
+      | &\#(?P<char>[0-9]+|[xX][0-9a-fA-F]+);
+      | (?P<lone>&(?=[^a-zA-Z#])|<(?=[^a-zA-Z/!?]))
+      | (?P<aside><!--(?!-?>)(?:[^-]|-(?!-))*-->|<!(?i:doctype)[^>\[]*>)""", re.X)
+ATTR = re.compile(r"""\s+([a-zA-Z][a-zA-Z0-9:_-]*)(?:=(?:"([^"]*)"|'([^']*)'|([^\s"'<>=`/&]+)))?""")
 
-class _Soup(HTMLParser):
+
+class _Tree:
     """Nodes as parallel lists; a negative child is a piece of text."""
 
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=False)
+    def __init__(self):
         self.name, self.up, self.kids, self.attrs, self.where = [""], [-1], [[]], [None], [None]
         self.texts = [""]
         self.open, self.count, self.silent, self.buffer = [0], {}, 0, []
-        self.spent_void, self.base, self.tr_in_tr = {}, 0, False
-        self.feed(html)
-        self.base = len(html) - len(self.rawdata)
-        self.close()
-        self._flush()
+        self.spent_void, self.tr_in_tr = {}, False
 
-    def _flush(self):
+    def flush(self, _data=None):
         if self.buffer:
             text = "".join(self.buffer).strip()
             self.buffer.clear()
@@ -43,8 +55,8 @@ class _Soup(HTMLParser):
                 self.kids[self.open[-1]].append(-len(self.texts))
                 self.texts.append(text)
 
-    def _shut(self, name):
-        self._flush()
+    def shut(self, name):
+        self.flush()
         if self.count.get(name):
             while True:
                 gone = self.name[self.open.pop()]
@@ -53,60 +65,78 @@ class _Soup(HTMLParser):
                 if gone == name:
                     break
 
-    def parse_starttag(self, i):
-        self.at = self.base + i
-        return super().parse_starttag(i)
-
-    def _start(self, tag, attrs):
-        self._flush()
+    def start(self, tag, attrs, at, length, closed):
+        self.flush()
         parent, node = self.open[-1], len(self.name)
         self.name.append(tag)
         self.up.append(parent)
         self.kids.append([])
         self.kids[parent].append(node)
         keep = tag == "td" or tag == "th" or tag == "table"
-        self.attrs.append(dict(attrs) if keep else None)
-        self.where.append((self.at, len(self.get_starttag_text())) if keep else None)
+        self.attrs.append(attrs() if keep else None)
+        self.where.append((at, length) if keep else None)
         self.open.append(node)
         self.count[tag] = self.count.get(tag, 0) + 1
         self.silent += tag in SILENT
         if tag == "tr" and self.name[parent] == "tr":
             self.tr_in_tr = True
-
-    def handle_starttag(self, tag, attrs):
-        self._start(tag, attrs)
-        if tag in VOID:
-            self._shut(tag)
+        if closed:
+            self.end(tag)
+        elif tag in VOID:
+            self.shut(tag)
             self.spent_void[tag] = self.spent_void.get(tag, 0) + 1
 
-    def handle_startendtag(self, tag, attrs):
-        self._start(tag, attrs)
-        self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
+    def end(self, tag):
         if self.spent_void.get(tag):
             self.spent_void[tag] -= 1
         else:
-            self._shut(tag)
-
-    def handle_data(self, data):
-        self.buffer.append(data)
+            self.shut(tag)
 
-    def handle_entityref(self, name):
+    def entity(self, name):
         self.buffer.append(html5.get(name + ";", "&" + name))
 
-    def handle_charref(self, name):
+    def char(self, name):
         code = int(name[1:], 16) if name[0] in "xX" else int(name)
         if 128 <= code < 160:
-            char = bytes([code]).decode("windows-1252", "ignore") or chr(code)
+            text = bytes([code]).decode("windows-1252", "ignore") or chr(code)
+        elif code > 0x10FFFF or 0xD800 <= code < 0xE000:
+            text = "\N{REPLACEMENT CHARACTER}"
         else:
-            char = chr(code) if code < 0x110000 else "\N{REPLACEMENT CHARACTER}"
-        self.buffer.append(char if not 0xD800 <= code < 0xE000 else "\N{REPLACEMENT CHARACTER}")
+            text = chr(code)
+        self.buffer.append(text)
 
-    def _interrupt(self, _data):
-        self._flush()
-
-    handle_comment = handle_decl = handle_pi = unknown_decl = _interrupt
+    def read_plain(self, html):
+        """Read a page made of well-formed tokens; False if it holds anything else."""
+        at, match, stop = 0, TOKEN.match, len(html)
+        while at < stop:
+            token = match(html, at)
+            if token is None:
+                return False
+            kind, begin, at = token.lastgroup, at, token.end()
+            if kind == "text" or kind == "lone":
+                self.buffer.append(token[0])
+            elif kind == "end":
+                self.end(token["end"].lower())
+            elif kind == "empty":
+                tag, written = token["start"].lower(), token["attrs"]
+                closed = bool(token["empty"])
+                if tag in RAW and not closed:
+                    close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                    if close is None or html.find("</", at) != close.start():
+                        return False
+                    self.start(tag, dict, begin, at - begin, False)
+                    self.shut(tag)
+                    at = close.end()
+                else:
+                    self.start(tag, lambda: _attributes(written), begin, at - begin, closed)
+            elif kind == "entity":
+                self.entity(token["entity"])
+            elif kind == "char":
+                self.char(token["char"])
+            else:
+                self.flush()
+        self.flush()
+        return True
 
     def lift_rows(self):
         """A row directly inside a row moves to just behind it, last one first."""
@@ -142,6 +172,43 @@ class _Soup(HTMLParser):
         return order, slot, texts
 
 
+def _attributes(written):
+    """Attributes of a well-formed start tag; of a repeated one the last counts."""
+    return {name.lower(): unescape(a or b or c) if a or b or c else a
+            for name, a, b, c in ATTR.findall(written)}
+
+
+class _Reader(HTMLParser):
+    """Feeds a tree from markup of any kind."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=False)
+        self.tree, self.base = _Tree(), 0
+        self.handle_data, self.handle_endtag = self.tree.buffer.append, self.tree.end
+        self.handle_entityref, self.handle_charref = self.tree.entity, self.tree.char
+        self.handle_comment = self.handle_decl = self.tree.flush
+        self.handle_pi = self.unknown_decl = self.tree.flush
+        self.feed(html)
+        self.base = len(html) - len(self.rawdata)
+        self.close()
+        self.tree.flush()
+
+    def parse_starttag(self, i):
+        self.at = self.base + i
+        return super().parse_starttag(i)
+
+    def handle_starttag(self, tag, attrs, closed=False):
+        self.tree.start(tag, lambda: dict(attrs), self.at, len(self.get_starttag_text()), closed)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs, closed=True)
+
+
+def _read(html):
+    tree = _Tree()
+    return tree if tree.read_plain(html) else _Reader(html).tree
+
+
 def _span(text):
     """Declared span; raises ValueError when it is no integer."""
     return max(-SPAN_MAX, min(int(text or ""), SPAN_MAX))
@@ -163,7 +230,7 @@ def _place(rows):
 def page_tables(html: str) -> list[dict]:
     """Every table of a page in document order, nested ones too."""
     try:
-        soup = _Soup(html)
+        soup = _read(html)
     except Exception as err:                               # one bad page must not fail a job
         return [{"table_idx": 0, "status": "bad_page", "problem": f"{type(err).__name__}: {err}",
                  "at": 0, "at_len": 0, "style": None, "overlaps": False, "rows": []}]
