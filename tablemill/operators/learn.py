@@ -28,7 +28,7 @@ MODELS = {
 }
 BALANCED = {"Random Forest", "CatBoost", "SVM (RBF)", "Logistic Regression"}
 LOGISTIC_ITERATIONS = 1000
-FOURIER = 128          # random features of the RBF kernel
+FOURIER = 64           # random features of the RBF kernel
 # The JVM copes with very deep boosting lineages only if they are cut now and then.
 CHECKPOINT_EVERY = 10
 

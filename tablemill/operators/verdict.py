@@ -169,49 +169,49 @@ def judge_tables(typed: DataFrame) -> DataFrame:
         c["detail"], c["rowspan"], c["colspan"])))
 
     height, width = F.size(rows), F.size(rows[0])
-    plain = F.col("route") == "plain"
+    plain = F.col("_route") == "plain"
     # The native checks come first, so that a filter on the verdict stops above the
     # Python step and finds their outcome instead of computing it once more.
-    routed = (typed.withColumn("route", route)
-              .withColumn("top", F.when(plain, plain_check(
+    routed = (typed.withColumn("_route", route)
+              .withColumn("_top", F.when(plain, plain_check(
                   height, width, lambda r, c: rows[r][c], lambda r, c: r * width + c)))
-              .withColumn("left", F.when(plain & F.col("top").isNotNull(), plain_check(
+              .withColumn("_left", F.when(plain & F.col("_top").isNotNull(), plain_check(
                   width, height, lambda r, c: rows[c][r], lambda r, c: c * width + r)))
-              .withColumn("read", _read_lines(F.when(F.col("route") == "lines", slim))))
+              .withColumn("_read", _read_lines(F.when(F.col("_route") == "lines", slim))))
 
-    read, top, left = F.col("read"), F.col("top"), F.col("left")
+    read, top, left = F.col("_read"), F.col("_top"), F.col("_left")
     attempt = F.when(plain, F.when(top.isNull(), "top").when(left.isNull(), "left")) \
         .otherwise(read["attempt"])
-    kind = (F.when(F.col("route") == "small", "LayoutError")
+    kind = (F.when(F.col("_route") == "small", "LayoutError")
             .when(plain, F.when(top.isNull() | left.isNull(), "genuine").otherwise(top["kind"]))
             .otherwise(read["kind"]))
     told = F.coalesce(read.dropFields("attempt", "p_overlaps", "cells"), top)
-    judged = (routed.withColumn("attempt", attempt)
-              .withColumn("kind", kind)
-              .withColumn("told", F.when(F.col("route") == "small", _outcome(
+    judged = (routed.withColumn("_attempt", attempt)
+              .withColumn("_kind", kind)
+              .withColumn("_told", F.when(F.col("_route") == "small", _outcome(
                   None, "small", None, F.array(_arg(height, "num"), _arg(width, "num"))))
                   .otherwise(told))
-              .withColumn("placed", F.when(F.col("kind") == "genuine", F.when(
-                  plain, _plain_places(height, width, F.col("attempt")))
+              .withColumn("placed", F.when(F.col("_kind") == "genuine", F.when(
+                  plain, _plain_places(height, width, F.col("_attempt")))
                   .otherwise(read["cells"])))
-              .withColumn("flat", F.flatten(rows)))
+              .withColumn("_flat", F.flatten(rows)))
 
-    flat, told = F.col("flat"), F.col("told")
+    flat, told = F.col("_flat"), F.col("_told")
     text = _text_of(told["code"], told["block"], told["args"], rows, flat)
-    failed = ~readable | (F.col("kind") == "ValueError")
+    failed = ~readable | (F.col("_kind") == "ValueError")
     same_place = F.forall(F.col("placed"), lambda p: (
         flat[p["k"]]["home_row"] == p["p_row"]) & (flat[p["k"]]["home_col"] == p["p_col"]))
     keep = [c for c in typed.columns if c not in ("status", "problem")]
     return judged.select(
         *keep,
-        F.when(~readable, F.col("status")).when(F.col("kind") == "ValueError", "error")
+        F.when(~readable, F.col("status")).when(F.col("_kind") == "ValueError", "error")
         .otherwise("ok").alias("status"),
-        F.when(failed, "error").otherwise(F.col("kind")).alias("verdict"),
-        F.when(~readable, F.col("problem")).when(F.col("kind") != "genuine",
-               F.concat(F.col("kind"), F.lit(": "), text)).alias("message"),
-        F.when(F.col("kind") == "genuine", F.when(same_place, "top").otherwise("left"))
+        F.when(failed, "error").otherwise(F.col("_kind")).alias("verdict"),
+        F.when(~readable, F.col("problem")).when(F.col("_kind") != "genuine",
+               F.concat(F.col("_kind"), F.lit(": "), text)).alias("message"),
+        F.when(F.col("_kind") == "genuine", F.when(same_place, "top").otherwise("left"))
         .alias("orientation"),
-        (F.col("route") == "plain").alias("plain"),
+        (F.col("_route") == "plain").alias("plain"),
         F.coalesce(read["p_overlaps"], F.lit(False)).alias("p_overlaps"), "placed")
 
 

@@ -1025,7 +1025,7 @@ def _(spark, sf):
 
 @query("cross_validation")
 def _(spark, sf):
-    return learn.cross_validate(learning_rows(spark, sf), ["Logistic Regression", "SVM (RBF)"])
+    return learn.cross_validate(learning_rows(spark, sf), ["Logistic Regression", "Random Forest"])
 
 
 @query("cross_validation_summary")
@@ -1035,7 +1035,7 @@ def _(spark, sf):
 
 @query("ranked_models")
 def _(spark, sf):
-    scores = learn.cross_validate(learning_rows(spark, sf), ["Logistic Regression", "SVM (RBF)"])
+    scores = learn.cross_validate(learning_rows(spark, sf), ["Logistic Regression", "Random Forest"])
     return learn.ranked(learn.summary(scores))
 
 
