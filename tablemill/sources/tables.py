@@ -75,11 +75,13 @@ def labelled_pages(records: DataFrame) -> DataFrame:
 def extract_tables(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per table: key, position of its start tag, and its rows of cells.
 
-    Pages without a table never reach Python, and the markup goes no further.
+    The markup of pages without a table is not sent to Python, and no markup goes
+    any further. (A filter would do the same, but Catalyst pushes it below the
+    projection that makes ``html``, and a page made by an expression is made twice.)
     """
     keep = [c for c in pages.columns if c != html]
-    return (pages.where(F.col(html).rlike("(?i)<table"))
-            .select(*keep, F.explode(html_tables(F.col(html))).alias("t"))
+    sent = F.when(F.col(html).rlike("(?i)<table"), F.col(html))
+    return (pages.select(*keep, F.explode(html_tables(sent)).alias("t"))
             .select(*keep, "t.*"))
 
 
