@@ -6,6 +6,9 @@ separators U+001C..U+001F. The classes are therefore spelled out.
 """
 
 SPACES = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE_CHARS = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORD = r"[\p{L}\p{N}_]"
 EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
@@ -20,7 +23,8 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
         elif pair == r"\d":
             out.append(r"\p{Nd}")
         elif pair == r"\b":
-            out.append(EDGE)
+            # At the start of a published pattern a word character always follows.
+            out.append(EDGE if pos else rf"(?<!{WORD})")
         elif pair[0] == "\\":
             out.append(pair)
         else:
