@@ -757,29 +757,30 @@ def _(spark, sf):
 
 
 def two_runs(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Verdicts of a corpus before and after: some texts changed, some pages went, some came."""
+    """Verdicts of a corpus before and after: some tables lost their rows, some pages
+    their tables, some pages went, some came."""
     pages = rendered.event_pages(spark, sf).withColumn("event_id", F.expr("(page_id - 3) div 4"))
     before = verdict.verdicts(verdict.judge(pages.where("event_id % 10 <> 9")))
-    broken = F.when(F.col("event_id") % 5 == 0, F.regexp_replace("html", "<table>", "<table><tr></td>")) \
-        .when(F.col("event_id") % 4 == 0, F.regexp_replace("html", "Value", "3.5")).otherwise(F.col("html"))
-    after = verdict.verdicts(verdict.judge(pages.where("event_id % 10 <> 8").withColumn("html", broken)))
+    changed = F.when(F.col("event_id") % 5 == 0, "<p>gone</p>") \
+        .when(F.col("event_id") % 4 == 1, F.replace("html", F.lit("</tr><tr>"), F.lit(""))) \
+        .otherwise(F.col("html"))
+    after = verdict.verdicts(verdict.judge(pages.where("event_id % 10 <> 8").withColumn("html", changed)))
     return before, after
 
 
-_DIFF = """SELECT page_id, table_idx, was, now FROM (SELECT page_id, table_idx,
-CASE WHEN event_id % 10 = 9 THEN '<нет записи>' ELSE verdict END AS was,
-CASE WHEN event_id % 10 = 8 THEN '<нет записи>' WHEN event_id % 5 <> 0 AND event_id % 4 = 0 THEN
-  CASE v WHEN 0 THEN 'TitleTypeError' WHEN 4 THEN 'TitleTypeError' WHEN 8 THEN 'TitleTypeError'
-         WHEN 16 THEN 'TitleTypeError' WHEN 20 THEN 'TitleTypeError' ELSE verdict END
+_DIFF = f"""SELECT page_id, table_idx, was, now FROM (SELECT page_id, table_idx,
+CASE WHEN event_id % 10 = 9 THEN '{fixed.MISSING_RECORD}' ELSE verdict END AS was,
+CASE WHEN event_id % 10 = 8 OR event_id % 5 = 0 THEN '{fixed.MISSING_RECORD}' WHEN event_id % 4 = 1 THEN
+  CASE WHEN v = 12 THEN 'error' WHEN v = 11 AND table_idx = 0 THEN 'TitleTypeError' ELSE 'LayoutError' END
   ELSE verdict END AS now FROM ev) WHERE was <> now"""
 
 
-@query("snapshot_diff")
+@query("snapshot_diff", ex.with_(EV, body=_DIFF))
 def _(spark, sf):
     return audit.snapshot_diff(*two_runs(spark, sf), TABLE_KEY, "verdict")
 
 
-@query("first_differences")
+@query("first_differences", ex.with_(EV, body=_DIFF + " ORDER BY page_id, table_idx LIMIT 25"))
 def _(spark, sf):
     diff = audit.snapshot_diff(*two_runs(spark, sf), TABLE_KEY, "verdict")
     return audit.first_differences(diff, TABLE_KEY, 25)
