@@ -1077,16 +1077,20 @@ def _(spark, sf):
 
 @query("analyze")
 def _(spark, sf):
+    """Answers on every table, with its cells numbered as a browser numbers them."""
     pages = rendered.event_pages(spark, sf)
-    pages = pages.withColumn("html", F.regexp_replace("html", "<td>", '<td data-gt-id="7">'))
+    numbered = F.array_join(F.transform(F.split("html", "<td>"), lambda part, i: F.concat(
+        F.when(i > 0, F.concat(F.lit('<td data-gt-id="'), i.cast("string"), F.lit('">')))
+        .otherwise(""), part)), "")
+    pages = pages.withColumn("html", numbered)
     judged = stored(verdict.judge(pages), "judged")
     found = stored(links.paths(verdict.roles(judged)), "pathed")
     model = runs.train(records_of(spark, sf), "Logistic Regression")
     accepted = model.predict(features.features(judged))
-    asked = export.described(found).where("row = 1 AND col = 0")
-    return export.analyze(judged, asked, export.export_documents(
-        found, export.page_sources(pages)), accepted).groupBy("genuine", F.substring(
-            "reason", 1, 14).alias("reason")).count()
+    return (export.analyze(judged, export.described(found), export.export_documents(
+        found, export.page_sources(pages)), accepted)
+        .select("page_id", "table_idx", "genuine", "reason", F.size("cells").alias("n_cells"),
+                F.char_length("export").alias("chars")))
 
 
 # ------------------------------------------------------------------ streaming
