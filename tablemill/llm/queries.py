@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, token_counts
+from . import (line_dedup, mixing, near_dup, neighbours, packing, personal, quality, substrings,
+               token_counts, toxicity)
 from .common import documents, read, stored, text_of, words
 
 
@@ -14,6 +15,25 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(documents(spark, sf_dir).select("doc_id", "text"),
+                           read(spark, sf_dir, "labels")).drop("text")
+
+
+def op4_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.shared(documents(spark, sf_dir))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.group(documents(spark, sf_dir).select("doc_id", "text"),
+                          near_dup.Rule(words=3, part=85)).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_pieces(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -22,6 +42,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(personal.found(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = stored(documents(spark, sf_dir).select(
         "source", "doc_id", F.size(words(text_of())).cast("long").alias("size"),
@@ -30,8 +54,14 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir).select("doc_id", "text"),
+                          read(spark, sf_dir, "labels")).drop("text")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op6_token_counts, op7_best_fit_packing, op9_source_mixing)}
+    op1_line_dedup, op2_nearest_neighbours, op3_toxicity, op4_shared_passages, op5_near_duplicates,
+    op6_token_counts, op7_best_fit_packing, op8_personal_data, op9_source_mixing, op10_quality)}
 
 ORACLES = {
     "op1_line_dedup": f"""
