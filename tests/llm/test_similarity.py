@@ -197,7 +197,7 @@ def test_one_of_each(spark):
     got = near_dup.one_of_each(df)
     assert got.columns == df.columns
     rule = near_dup.Rule()
-    groups = {(d, m) for d, n, m, kept in plain_groups(items, rule) if kept and n}
+    groups = {(d, n, m) for d, n, m, kept in plain_groups(items, rule) if kept and n}  # doc_id 5 is in two
     empty = [i for i in items if not sets(i[1], 5)]
     assert got.count() == len(groups) + len(empty)
     assert near_dup.one_of_each(make(spark, [])).count() == 0
