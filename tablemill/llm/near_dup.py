@@ -20,6 +20,8 @@ from .hashing import TOKENS, mixed, shingles, tokens
 TREES, DEPTH = 8, 8
 #: A node of so many sets is compared exhaustively; larger ones branch.
 SMALL = 48
+#: Large nodes need not branch once comparing them takes no more pairs than this for each set of the table.
+PAIRS_EACH = 64
 
 
 @dataclass(frozen=True)
@@ -151,9 +153,11 @@ def _joined(classes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     Level by level: in each node of the trees every set is first held against
     the node's smallest; what is linked by then is one component. Nodes that still hold
     several components are compared exhaustively if small and branch on if large;
-    what is still large at the last level is compared in blocks. So no pair
-    that is connected already is made, and a group of copies costs a pair for each.
+    once comparing the large ones too costs little for the table's size, or at the last
+    level, they are compared in blocks as well. So no pair that is connected already is
+    made, and a group of copies costs a pair for each.
     """
+    most = PAIRS_EACH * classes.count()
     children, agreement = _children(rule), _agreement()
     spark = classes.sparkSession
     links = spark.createDataFrame([], "a binary, b binary")
@@ -181,13 +185,13 @@ def _joined(classes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
         mixed = (own.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high"))
                  .where("low <> high").select("path"))
         open_ = stored(own.join(mixed, "path"), "mixed")
-        last = level == DEPTH - 1
-        small = open_ if last else open_.where(F.col("size") <= SMALL)
-        pairs = stored(_across(small, rule, tried), "across")
+        large = open_.where(F.col("size") > SMALL)
+        work = large.agg(F.sum("size").alias("pairs")).first()["pairs"] or 0
+        last = level == DEPTH - 1 or work <= most
+        pairs = stored(_across(open_ if last else open_.where(F.col("size") <= SMALL), rule, tried), "across")
         tried = tried.union(pairs)
         links = links.union(_confirmed(pairs, texts, rule))
-        large = open_.where(F.col("size") > SMALL)
-        if last or not large.limit(1).count():
+        if last:
             break
         frontier = stored(
             large.select("path", "key", "sketch").join(classes.select("key", "tokens"), "key")

@@ -18,8 +18,10 @@ CHAIN = ("quality", "toxic")
 SAMPLE = 12_000
 #: Terms, the most frequent of the sample; exact terms, so that no clean word shares a weight.
 TERMS = 1 << 15
-FOLDS = 3
-ROUNDS = 30
+FOLDS = 2
+ROUNDS = 16
+#: The bounded sample is read in so many tasks: a fit is a hundred short jobs.
+TASKS = 6
 PENALTY = 1e-4
 
 TERM = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
@@ -60,7 +62,7 @@ def _probable(model: LogisticRegressionModel, rows: DataFrame, name: str) -> Dat
             .withColumn(name, vector_to_array("__probability")[1]).drop("__probability", "__seen"))
 
 
-def _fit(rows: DataFrame, label: str, weight: str | None = None) -> LogisticRegressionModel:
+def _fit(rows: DataFrame, label: str) -> LogisticRegressionModel:
     return LogisticRegression(featuresCol="__seen", labelCol=label, maxIter=ROUNDS, regParam=PENALTY,
                               standardization=False, family="binomial").fit(rows)
 
@@ -94,19 +96,19 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, text
     if not rows.where(F.size("__terms") > 0).limit(1).count():
         return None
     bag = CountVectorizer(inputCol="__terms", outputCol="__bag", vocabSize=TERMS, binary=True).fit(rows)
-    rows = stored(bag.transform(rows).drop("__terms"), "bags")
+    rows = stored(bag.transform(rows).drop("__terms").coalesce(TASKS), "bags")
+    folds = {r["__fold"] for r in rows.select("__fold").distinct().collect()}
     models = []
     for k, c in enumerate(chain):
-        seen = _with_earlier(rows, k).persist()
+        seen = _with_earlier(rows, k)
         models.append(_fit(seen, f"__is_{c}"))
         parts = None
         for fold in range(FOLDS):
             rest, held = seen.where(F.col("__fold") != fold), seen.where(F.col("__fold") == fold)
-            model = _fit(rest, f"__is_{c}") if rest.limit(1).count() else models[-1]
+            model = _fit(rest, f"__is_{c}") if folds - {fold} else models[-1]
             part = _probable(model, held, f"__p{k}")
             parts = part if parts is None else parts.union(part)
-        rows = stored(parts, "out_of_fold")
-        seen.unpersist()
+        rows = stored(parts.coalesce(TASKS), "out_of_fold")
     got = rows.select(F.col(f"__p{len(chain) - 1}").alias("p"), F.col(f"__is_{chain[-1]}").alias("y")).toPandas()
     return Chain(bag, models, chain, threshold(got["p"].tolist(), got["y"].tolist()))
 
