@@ -20,7 +20,10 @@ def components(links: DataFrame, first: str = "a", second: str = "b") -> DataFra
     """
     edges = stored(links.select(F.greatest(first, second).alias("u"), F.least(first, second).alias("v"))
                    .where("u <> v").distinct(), "links")
-    state = None
+    def mark(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+    state = mark(edges)
     for _ in range(ROUNDS):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -32,9 +35,8 @@ def components(links: DataFrame, first: str = "a", second: str = "b") -> DataFra
         edges = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                        .union(least.select("u", F.col("m").alias("v")))
                        .where("u <> v").distinct(), "small_star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(now) == state:
+        before, state = state, mark(edges)
+        if state == before:
             break
-        state = tuple(now)
     return (edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
             .union(edges.select("v", "v").distinct()))

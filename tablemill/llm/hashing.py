@@ -7,6 +7,8 @@ import xxhash
 
 #: Minwise tokens of a set.
 TOKENS = 64
+#: Bins of the finer sketch; a power of two.
+BINS = 512
 #: Words whose hashes a worker remembers; then it starts anew.
 REMEMBERED = 400_000
 
@@ -66,3 +68,18 @@ def tokens(one: np.ndarray) -> np.ndarray:
         each = one[at:at + 4096, None] * _MULTIPLY + _ADD
         least = np.minimum(least, (each ^ (each >> np.uint64(32))).min(axis=0))
     return least
+
+
+def binned(one: np.ndarray) -> np.ndarray:
+    """The set dealt to ``BINS`` bins by hash, each with one byte of its smallest member, 0 if empty.
+
+    Of the bins that two sets fill, the share in which they agree is their similarity, with an
+    error that only sets much larger than the number of bins have.
+    """
+    out = np.zeros(BINS, np.uint8)
+    mixed_ = mixed(one)
+    order = np.argsort(mixed_, kind="stable")
+    place = (mixed_[order] >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    out[place[first]] = (mixed_[order][first] % np.uint64(255)).astype(np.uint8) + 1
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, stored
 from .components import components
-from .hashing import TOKENS, mixed, shingles, tokens
+from .hashing import BINS, TOKENS, binned, mixed, shingles, tokens
 
 #: Independent trees, and how deep a tree may branch.
 TREES, DEPTH = 8, 8
@@ -42,20 +43,26 @@ class Rule:
         deviations below the limit, less than one true link in ten million."""
         return max(0.0, self.least - 5.5 * math.sqrt(self.least * (1 - self.least) / TOKENS))
 
+    @property
+    def finer(self) -> float:
+        """The same by the bins of the finer sketch."""
+        return max(0.0, self.least - 5.5 * math.sqrt(self.least * (1 - self.least) / BINS))
+
 
 def _described(k: int):
-    @F.pandas_udf("n long, key binary, tokens binary, sketch binary")
+    @F.pandas_udf("n long, key binary, tokens binary, sketch binary, bins binary")
     def describe(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
             one = shingles(text, k)
             if not len(one):
-                out.append((0, None, None, None))
+                out.append((0, None, None, None, None))
                 continue
             least = tokens(one)
             out.append((len(one), hashlib.blake2b(one.tobytes(), digest_size=16).digest(),
-                        least.tobytes(), (mixed(least) & np.uint64(255)).astype(np.uint8).tobytes()))
-        return pd.DataFrame(out, columns=["n", "key", "tokens", "sketch"])
+                        least.tobytes(), (mixed(least) & np.uint64(255)).astype(np.uint8).tobytes(),
+                        binned(one).tobytes()))
+        return pd.DataFrame(out, columns=["n", "key", "tokens", "sketch", "bins"])
     return describe
 
 
@@ -121,29 +128,46 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 def _across(members: DataFrame, rule: Rule, tried: DataFrame) -> DataFrame:
     """Pairs of one node's sets that are not yet in one component and may be linked.
 
-    ``members`` has (path, key, root, sketch, size). Sets are dealt to blocks, and
-    each pair of blocks is compared by one task; a small node is one block.
+    ``members`` has (path, key, root, bins, size). Sets are dealt to blocks, and each pair of
+    blocks is compared on its own; a small node is one block. Rows come sorted by
+    node and pair of blocks, so a task holds one such pair at a time.
     """
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, TOKENS)
+    def near(rows: pd.DataFrame) -> list:
+        bins = np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(-1, BINS)
         key, root = rows["key"].to_numpy(), rows["root"].to_numpy()
-        one = np.flatnonzero(rows["left"].to_numpy())
-        two = np.flatnonzero(rows["right"].to_numpy())
+        one, two = np.flatnonzero(rows["left"].to_numpy()), np.flatnonzero(rows["right"].to_numpy())
         out = []
         for i in one:
-            near = two[(sketch[two] == sketch[i]).mean(axis=1) >= rule.estimate]
-            out += [(min(key[i], key[j]), max(key[i], key[j])) for j in near if root[i] != root[j]]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+            other = two[root[two] != root[i]]
+            if len(other):
+                both = ((bins[other] == bins[i]) & (bins[i] > 0)).sum(axis=1)
+                either = ((bins[other] > 0) | (bins[i] > 0)).sum(axis=1)
+                out += [(min(key[i], key[j]), max(key[i], key[j])) for j in other[both >= rule.finer * either]]
+        return out
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            place = rows[["path", "x", "y"]].to_numpy()
+            ends = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+            starts = [0, *ends.tolist()]
+            out = [p for a, b in zip(starts, ends.tolist()) if b - a > 1 for p in near(rows.iloc[a:b])]
+            held = rows.iloc[starts[-1]:].reset_index(drop=True)
+            yield pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+        if held is not None:
+            yield pd.DataFrame(sorted(set(near(held))), columns=["a", "b"])
 
     blocks = F.ceil(F.col("size") / SMALL).cast("int")
     dealt = (members.withColumn("blocks", blocks)
              .withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-             .select("path", "key", "root", "sketch", F.least("own", "other").alias("x"),
+             .select("path", "key", "root", "bins", F.least("own", "other").alias("x"),
                      F.greatest("own", "other").alias("y"),
                      (F.col("own") <= F.col("other")).alias("left"),
                      (F.col("own") >= F.col("other")).alias("right")))
-    found = dealt.groupBy("path", "x", "y").applyInPandas(compare, "a binary, b binary").distinct()
+    found = (dealt.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
+             .mapInPandas(compare, "a binary, b binary").distinct())
     return found.join(tried, ["a", "b"], "left_anti")
 
 
@@ -161,7 +185,7 @@ def _joined(classes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     children, agreement = _children(rule), _agreement()
     spark = classes.sparkSession
     links = spark.createDataFrame([], "a binary, b binary")
-    tried, roots = links, None
+    tried, roots = links, spark.createDataFrame([], "node binary, root binary")
     frontier = stored(
         classes.select("key", "sketch", "tokens", F.explode(F.expr(f"sequence(0L, {TREES - 1}L)")).alias("tree"))
         .withColumn("path", F.explode(children("tree", "tokens"))).select("path", "key", "sketch"), "level")
@@ -176,28 +200,31 @@ def _joined(classes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                 .join(tried, ["a", "b"], "left_anti"))
         star = stored(star, "star")
         tried = tried.union(star)
-        links = links.union(_confirmed(star, texts, rule))
-        roots = stored(components(links), "roots")
+        if star.limit(1).count():
+            links = links.union(_confirmed(star, texts, rule))
+            roots = stored(components(links), "roots")
         own = members.select("path", "key", "sketch", "size").join(
             roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
             "root", F.coalesce("root", "key"))
         own = stored(own, "rooted")
         mixed = (own.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high"))
                  .where("low <> high").select("path"))
-        open_ = stored(own.join(mixed, "path"), "mixed")
+        open_ = stored(own.join(mixed, "path").join(classes.select("key", "bins"), "key"), "mixed")
         large = open_.where(F.col("size") > SMALL)
         work = large.agg(F.sum("size").alias("pairs")).first()["pairs"] or 0
         last = level == DEPTH - 1 or work <= most
         pairs = stored(_across(open_ if last else open_.where(F.col("size") <= SMALL), rule, tried), "across")
         tried = tried.union(pairs)
-        links = links.union(_confirmed(pairs, texts, rule))
+        if pairs.limit(1).count():
+            links = links.union(_confirmed(pairs, texts, rule))
+            roots = stored(components(links), "roots")
         if last:
             break
         frontier = stored(
             large.select("path", "key", "sketch").join(classes.select("key", "tokens"), "key")
             .withColumn("path", F.explode(children("path", "tokens"))).select("path", "key", "sketch")
             .distinct(), "level")
-    return stored(components(links), "roots")
+    return roots
 
 
 def rooted(docs: DataFrame, rule: Rule, text: str) -> DataFrame:
@@ -208,7 +235,7 @@ def rooted(docs: DataFrame, rule: Rule, text: str) -> DataFrame:
     filled = described.where(F.col("__set.key").isNotNull())
     classes = stored(filled.groupBy(F.col("__set.key").alias("key")).agg(
         F.min("doc_id").alias("doc_id"), F.first("__set.tokens").alias("tokens"),
-        F.first("__set.sketch").alias("sketch")), "classes")
+        F.first("__set.sketch").alias("sketch"), F.first("__set.bins").alias("bins")), "classes")
     texts = filled.select(F.col("__set.key").alias("key"), F.col(text).alias("text"))
     roots = _joined(classes, texts, rule)
     rooted = classes.select("key", "doc_id").join(
