@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
 from .regex import SPACE_CHARS, SPACES, java_regex
+from .spans import SPAN_BITS
 
 
 def _all_in(tags: Column, allowed: list[str]) -> Column:
@@ -37,9 +42,25 @@ def tag_set(tags: Column) -> Column:
     return F.array_sort(F.array_distinct(tags))
 
 
+@lru_cache(maxsize=1)
+def decimal_digits() -> str:
+    """The ten digits of every script, each from its zero on."""
+    zeros = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.decimal(c, None) == 0]
+    return "".join(chr(ord(z) + d) for z in zeros for d in range(10))
+
+
 def parse_span(value: Column) -> Column:
-    """Declared span: absent -> 1, unreadable -> null (the table is then ``bad_span``)."""
-    return F.when(value.isNull(), F.lit(1)).otherwise(strip(value).try_cast("int"))
+    """Declared span: absent -> 1, unreadable -> null (the table is then ``bad_span``).
+
+    An integer is an optional sign and digits of any script, with single underscores between
+    them; one beyond ``SPAN_BITS`` bits, which no table can have, is unreadable too.
+    """
+    digits = decimal_digits()
+    plain = F.translate(strip(value), digits, "0123456789" * (len(digits) // 10))
+    whole = F.when(plain.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"),
+                   F.regexp_replace(plain, "_", "").try_cast("bigint"))
+    return F.when(value.isNull(), F.lit(1).cast("bigint")).otherwise(
+        F.when(F.abs(whole) < (1 << SPAN_BITS), whole))
 
 
 def only_formatting(tags: Column) -> Column:

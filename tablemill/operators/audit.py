@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..sources.tables import TABLE_KEY
+from ..sources.tables import TABLE_KEY, record_id
 
 
 def record_verdicts(records: DataFrame, judged: DataFrame) -> DataFrame:
@@ -15,9 +15,9 @@ def record_verdicts(records: DataFrame, judged: DataFrame) -> DataFrame:
     ``judged`` comes from the same records (``labelled_pages``); a record without
     any table is a layout error.
     """
-    first = judged.where(F.col("table_idx") == 0).select(
-        F.col("page_id").cast("string").alias("key"), "verdict", "message")
-    return (records.select("key", "name", "verification").join(first, "key", "left")
+    first = judged.where(F.col("table_idx") == 0).select("page_id", "verdict", "message")
+    return (records.select(record_id(records).alias("page_id"), "key", "name", "verification")
+            .join(first, "page_id", "left")
             .withColumn("message", F.when(F.col("verdict").isNull(), F.lit(
                 "LayoutError: " + fixed.NO_TABLE_IN_RECORD)).otherwise(F.col("message")))
             .withColumn("verdict", F.coalesce("verdict", F.lit("LayoutError"))))
@@ -102,14 +102,17 @@ def feature_vectors(feature_rows: DataFrame) -> DataFrame:
     return feature_rows.select(*TABLE_KEY, F.to_json(F.array(*values)).alias("vector"))
 
 
+def tall(scores_: DataFrame, key: str = "stage") -> DataFrame:
+    """Scores as (stage, metric, value)."""
+    pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+             for c in scores_.columns if c != key]
+    return scores_.select(key, F.explode(F.array(*pairs)).alias("x")).select(key, "x.*")
+
+
 def compare_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(metric, was, now, delta) of two one-row score tables."""
-    def tall(df, name):
-        pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(name))
-                 for c in df.columns]
-        return df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
-    return (tall(before, "was").join(tall(after, "now"), "metric")
-            .withColumn("delta", F.round(F.col("now") - F.col("was"), 6)))
+    """(stage, metric, was, now, delta) of two score tables."""
+    was, now = tall(before).withColumnRenamed("value", "was"), tall(after).withColumnRenamed("value", "now")
+    return was.join(now, ["stage", "metric"]).withColumn("delta", F.round(F.col("now") - F.col("was"), 6))
 
 
 def all_labels(*columns: DataFrame) -> DataFrame:

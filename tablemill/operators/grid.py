@@ -1,4 +1,4 @@
-"""The page grid: which cell covers which slot, and views of it."""
+"""The page grid: which cell covers which slots, kept as intervals, and views of it."""
 
 from __future__ import annotations
 
@@ -17,30 +17,54 @@ def place_cells(cells: DataFrame) -> DataFrame:
         F.greatest("colspan", F.lit(1)).alias("colspan"), "text")
 
 
+#: Slots that one array of ``slots`` holds at most; a wider cell is cut.
+CUT = 4096
+
+
 def cover(cells: DataFrame) -> DataFrame:
-    """Every slot with the cell that covers it: the later one where cells overlap.
+    """Every line of every cell, as the interval of columns [col, right] it covers there.
 
-    Only tables known to overlap pay for settling it; read ``cells`` from a stored
-    table when there are such tables, since they are then read twice.
+    A cell is at most as high as its table, whose bottom clips it; its width is
+    only a number, whatever it is.
     """
     bottom = F.least(F.col("row") + F.greatest("rowspan", F.lit(1)), F.col("height")) - 1
-    right = F.col("col") + F.greatest("colspan", F.lit(1)) - 1
-    order = F.struct("src_row", "src_idx")
-    slots = (cells.select(*TABLE_KEY, "overlaps", "src_row", "src_idx", "text", "col",
-                          right.alias("right"),
-                          F.explode(F.sequence("row", bottom)).alias("row"))
-             .select(*TABLE_KEY, "overlaps", "src_row", "src_idx", "text", "row",
-                     F.explode(F.sequence("col", "right")).alias("col")))
-    out = [*TABLE_KEY, "row", "col", "src_row", "src_idx", "text"]
-    settled = (slots.where("overlaps").groupBy(*TABLE_KEY, "row", "col")
-               .agg(F.max_by(F.struct("src_row", "src_idx", "text"), order).alias("c"))
-               .select(*TABLE_KEY, "row", "col", "c.*"))
-    return slots.where("NOT overlaps").select(*out).unionByName(settled)
+    return cells.select(
+        *TABLE_KEY, "overlaps", F.explode(F.sequence("row", bottom.cast("int"))).alias("row"), "col",
+        (F.col("col") + F.greatest("colspan", F.lit(1)) - 1).alias("right"), "src_row", "src_idx", "text")
+
 
+def _last(rows: DataFrame, *place: str) -> DataFrame:
+    """Of overlapping cells the later one takes a slot; only tables known to overlap pay for it."""
+    names = ["src_row", "src_idx", "text"]
+    out = [*TABLE_KEY, *place, *names]
+    settled = (rows.where("overlaps").groupBy(*TABLE_KEY, *place)
+               .agg(F.max_by(F.struct(*names), F.struct("src_row", "src_idx")).alias("c"))
+               .select(*TABLE_KEY, *place, "c.*"))
+    return rows.where("NOT overlaps").select(*out).unionByName(settled)
 
-def cell_at(covered: DataFrame, slots: DataFrame) -> DataFrame:
-    """The cell covering each asked-for slot; null where the row is shorter."""
-    return slots.join(covered, [*TABLE_KEY, "row", "col"], "left")
+
+def slots(covered: DataFrame) -> DataFrame:
+    """Every slot with its cell. A wide cell is dealt out piece by piece, never as one array."""
+    cut = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(right - col) div {CUT}"))).alias("_cut")
+    pieces = covered.select("*", cut)
+    first = F.col("col") + F.col("_cut") * CUT
+    last = F.least(first + (CUT - 1), F.col("right"))
+    return _last(pieces.withColumn("_slot", F.explode(F.sequence(first, last))).drop("col")
+                 .withColumnRenamed("_slot", "col"), "row", "col")
+
+
+def cell_at(covered: DataFrame, asked: DataFrame) -> DataFrame:
+    """The cell covering each asked-for slot; null where the row is shorter.
+
+    Slots meet the intervals of their own line, so no slot is written out.
+    """
+    lines = covered.select(*[F.col(c).alias(f"_{c}") for c in (*TABLE_KEY, "row")], F.col("col").alias("_from"),
+                           "right", F.struct("src_row", "src_idx", "text").alias("_cell"))
+    on = [F.col(c) == F.col(f"_{c}") for c in (*TABLE_KEY, "row")]
+    on += [F.col("col") >= F.col("_from"), F.col("col") <= F.col("right")]
+    return (asked.join(lines, on, "left").groupBy(*asked.columns)
+            .agg(F.max_by("_cell", F.struct("_cell.src_row", "_cell.src_idx")).alias("_c"))
+            .select(*asked.columns, "_c.src_row", "_c.src_idx", "_c.text"))
 
 
 def table_size(cells: DataFrame) -> DataFrame:
@@ -50,13 +74,13 @@ def table_size(cells: DataFrame) -> DataFrame:
         F.max(F.col("col") + F.greatest("colspan", F.lit(1))).alias("width"))
 
 
-def _seen_from(targets: DataFrame, covered: DataFrame, same: str, along: str) -> DataFrame:
-    t = targets.select(*TABLE_KEY, F.col(same).alias("_same"), F.col(along).alias("_end"),
+def _seen_from(targets: DataFrame, met: DataFrame, line: str, place: str) -> DataFrame:
+    """Cells met on a target's own line before its place; ``met`` has one row for each line and cell."""
+    t = targets.select(*TABLE_KEY, F.col(line).alias("_line"), F.col(place).alias("_end"),
                        F.col("src_row").alias("t_row"), F.col("src_idx").alias("t_idx"))
-    seen = (covered.withColumnRenamed(same, "_same").join(t, [*TABLE_KEY, "_same"])
-            .where(F.col(along) < F.col("_end"))
+    seen = (met.join(t, [*TABLE_KEY, "_line"]).where(F.col("place") < F.col("_end"))
             .groupBy(*TABLE_KEY, "t_row", "t_idx", "src_row", "src_idx")
-            .agg(F.min(along).alias("place"), F.first("text").alias("text")))
+            .agg(F.min("place").alias("place"), F.first("text").alias("text")))
     return (seen.groupBy(*TABLE_KEY, "t_row", "t_idx")
             .agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("found"))
             .select(*TABLE_KEY, F.col("t_row").alias("src_row"), F.col("t_idx").alias("src_idx"),
@@ -64,20 +88,35 @@ def _seen_from(targets: DataFrame, covered: DataFrame, same: str, along: str) ->
 
 
 def column_above(targets: DataFrame, covered: DataFrame) -> DataFrame:
-    """For each asked-for cell the distinct cells above its left column, top to bottom."""
-    return _seen_from(targets, covered, "col", "row")
+    """For each asked-for cell the distinct cells above its left column, top to bottom.
+
+    Cells are dealt to the columns that are asked for, not to all they cover.
+    """
+    columns = targets.groupBy(*TABLE_KEY).agg(F.collect_set("col").alias("_columns"))
+    wide = (covered.join(columns, TABLE_KEY)
+            .withColumn("_line", F.explode(F.filter(
+                "_columns", lambda c: (c >= F.col("col")) & (c <= F.col("right"))))))
+    met = _last(wide, "_line", "row").withColumnRenamed("row", "place")
+    return _seen_from(targets, met, "col", "row")
 
 
 def row_left(targets: DataFrame, covered: DataFrame) -> DataFrame:
-    """For each asked-for cell the distinct cells left of it on its top row."""
-    return _seen_from(targets, covered, "row", "col")
+    """For each asked-for cell the distinct cells left of it on its top row.
+
+    A cell counts where it begins; where cells overlap, one that shows no slot there is
+    still met.
+    """
+    met = covered.select(*TABLE_KEY, F.col("row").alias("_line"), F.col("col").alias("place"),
+                         "src_row", "src_idx", "text")
+    return _seen_from(targets, met, "row", "col")
 
 
 def transpose(cells: DataFrame) -> DataFrame:
-    """Swap the axes; what lies past the first row's width is lost."""
-    return (cells.where(F.col("col") < F.col("first_width"))
-            .select(*TABLE_KEY, F.col("col").alias("row"),
-                    F.col("row").cast("bigint").alias("col"), F.col("colspan").alias("rowspan"),
+    """Swap the axes. What lies past the first row's width is lost, and so is a cell that shows in
+    no slot: without height or width, or covered by later ones."""
+    return (cells.where(F.col("shown_col").isNotNull() & (F.col("shown_col") < F.col("first_width")))
+            .select(*TABLE_KEY, F.col("shown_col").alias("row"),
+                    F.col("shown_row").cast("bigint").alias("col"), F.col("colspan").alias("rowspan"),
                     F.col("rowspan").alias("colspan"), "text"))
 
 

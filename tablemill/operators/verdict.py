@@ -1,8 +1,8 @@
 """Is a table genuine, and what is each of its cells? One row per table throughout.
 
-Span-free rectangular tables, the common case, are decided by native array
-expressions; only the others send their types and spans (no texts) to the line
-reader in ``rules``. Nothing here shuffles.
+Span-free rectangular tables, the common case, are decided by plain array
+expressions; only the others send their types and spans (no texts) to the leaf
+in ``lines``. Nothing here shuffles.
 """
 
 from __future__ import annotations
@@ -19,16 +19,14 @@ from ..sources.tables import TABLE_KEY, type_tables
 _ARROW_JUDGED = pa.struct([
     ("kind", pa.string()), ("code", pa.string()), ("block", pa.string()),
     ("args", pa.list_(pa.struct([("k", pa.int64()), ("what", pa.string())]))),
-    ("attempt", pa.string()), ("p_overlaps", pa.bool_()),
-    ("cells", pa.list_(pa.struct([
+    ("attempt", pa.string()), ("cells", pa.list_(pa.struct([
         ("k", pa.int32()), ("role", pa.string()), ("p_row", pa.int32()), ("p_col", pa.int64()),
-        ("p_rowspan", pa.int32()), ("p_colspan", pa.int32()),
-        ("slots", pa.list_(pa.struct([("row", pa.int32()), ("col", pa.int64())])))])))])
+        ("p_rowspan", pa.int64()), ("p_colspan", pa.int64())])))])
 
 
 @F.arrow_udf(from_arrow_type(_ARROW_JUDGED))
 def _read_lines(rows: pa.Array) -> pa.Array:
-    from .rules import judge
+    from .lines import judge
     return pa.array([judge(r) if r is not None else None for r in rows.to_pylist()],
                     _ARROW_JUDGED)
 
@@ -122,11 +120,10 @@ def _plain_places(height, width, attempt) -> Column:
         lines = F.when(top, height).otherwise(width)
         role = (F.when(line == 0, "title").when((pos == 0) & (lines > 2), "sidebar")
                 .otherwise("data"))
-        one = F.lit(1)
+        one = F.lit(1).cast("bigint")
         return F.struct(k.alias("k"), role.alias("role"), line.cast("int").alias("p_row"),
                         pos.cast("bigint").alias("p_col"), one.alias("p_rowspan"),
-                        one.alias("p_colspan"),
-                        F.lit(None).cast("array<struct<row:int,col:bigint>>").alias("slots"))
+                        one.alias("p_colspan"))
     return F.transform(F.sequence(F.lit(0), height * width - 1), placed)
 
 
@@ -166,7 +163,9 @@ def judge_tables(typed: DataFrame) -> DataFrame:
     route = (F.when(~readable, "none").when(too_small(rows), "small")
              .when(is_plain(rows), "plain").otherwise("lines"))
     slim = F.transform(rows, lambda r: F.transform(r, lambda c: F.struct(
-        c["detail"], c["rowspan"], c["colspan"])))
+        c["no"].alias("k"), c["detail"].alias("detail"), c["type"].alias("type"),
+        c["rowspan"].alias("h"), c["colspan"].alias("w"), c["shown_col"].alias("pos"),
+        c["shown_row"].alias("y"))))
 
     height, width = F.size(rows), F.size(rows[0])
     plain = F.col("_route") == "plain"
@@ -185,7 +184,7 @@ def judge_tables(typed: DataFrame) -> DataFrame:
     kind = (F.when(F.col("_route") == "small", "LayoutError")
             .when(plain, F.when(top.isNull() | left.isNull(), "genuine").otherwise(top["kind"]))
             .otherwise(read["kind"]))
-    told = F.coalesce(read.dropFields("attempt", "p_overlaps", "cells"), top)
+    told = F.coalesce(read.dropFields("attempt", "cells"), top)
     judged = (routed.withColumn("_attempt", attempt)
               .withColumn("_kind", kind)
               .withColumn("_told", F.when(F.col("_route") == "small", _outcome(
@@ -211,8 +210,7 @@ def judge_tables(typed: DataFrame) -> DataFrame:
                F.concat(F.col("_kind"), F.lit(": "), text)).alias("message"),
         F.when(F.col("_kind") == "genuine", F.when(same_place, "top").otherwise("left"))
         .alias("orientation"),
-        (F.col("_route") == "plain").alias("plain"),
-        F.coalesce(read["p_overlaps"], F.lit(False)).alias("p_overlaps"), "placed")
+        (F.col("_route") == "plain").alias("plain"), "placed")
 
 
 def verdicts(judged: DataFrame) -> DataFrame:
@@ -233,36 +231,24 @@ def simple_grid_verdict(judged: DataFrame) -> DataFrame:
 def _covers(p: Column, starts: Column, last_row: Column) -> Column:
     """Columns a cell covers, of those in which some cell starts, with the first and
     the last line in which it shows there."""
-    bottom = F.least(p["p_row"] + F.greatest(p["p_rowspan"], F.lit(1)) - 1, last_row)
+    bottom = F.least(p["p_row"] + F.greatest(p["p_rowspan"], F.lit(1)) - 1, last_row).cast("int")
 
     def span(col, first, last):
         return F.struct(col.alias("col"), first.alias("first"), last.alias("last"))
 
-    def seen(col):
-        lines = F.transform(F.filter(p["slots"], lambda s: s["col"] == col), lambda s: s["row"])
-        return span(col, F.array_min(lines), F.array_max(lines))
-
     wide = F.filter(starts, lambda s: (s >= p["p_col"]) & (s < p["p_col"] + p["p_colspan"]))
-    return (F.when(p["slots"].isNotNull(), F.transform(F.array_intersect(
-        F.transform(p["slots"], lambda s: s["col"]), starts), seen))
-        .when(p["p_colspan"] > 1, F.transform(wide, lambda c: span(c, p["p_row"], bottom)))
-        .otherwise(F.array(span(p["p_col"], p["p_row"], bottom))))
+    return (F.when(p["p_colspan"] > 1, F.transform(wide, lambda c: span(c, p["p_row"], bottom)))
+            .otherwise(F.array(span(p["p_col"], p["p_row"], bottom))))
 
 
 def _beside(p: Column, last_row: Column) -> Column:
     """Lines a cell covers, with the first column in which it shows there."""
-    bottom = F.least(p["p_row"] + F.greatest(p["p_rowspan"], F.lit(1)) - 1, last_row)
+    bottom = F.least(p["p_row"] + F.greatest(p["p_rowspan"], F.lit(1)) - 1, last_row).cast("int")
 
     def span(line, first):
         return F.struct(line.alias("line"), first.alias("first"))
 
-    def seen(line):
-        cols = F.transform(F.filter(p["slots"], lambda s: s["row"] == line), lambda s: s["col"])
-        return span(line, F.array_min(cols))
-
-    return (F.when(p["slots"].isNotNull(), F.transform(F.array_distinct(
-        F.transform(p["slots"], lambda s: s["row"])), seen))
-        .otherwise(F.transform(F.sequence(p["p_row"], bottom), lambda r: span(r, p["p_col"]))))
+    return F.transform(F.sequence(p["p_row"], bottom), lambda r: span(r, p["p_col"]))
 
 
 def roles(judged: DataFrame) -> DataFrame:

@@ -131,10 +131,13 @@ def _(spark, sf):
     return tables_of(spark, sf).select(*TABLE_KEY, "status", F.size("rows").alias("n_rows"))
 
 
-@query("extract_tables_from_pages", "SELECT page_id, 0 AS table_idx FROM pages WHERE html ILIKE '%<table%'")
+@query("extract_tables_from_pages", "SELECT page_id, len(regexp_extract_all(html, '(?i)<table[ >]')) AS n_tables FROM pages")
 def _(spark, sf):
-    """The given pages hold no tables, and none may be found in them."""
-    return tables.extract_tables(tables.read_pages(spark, f"{sf}/pages.parquet")).select(*TABLE_KEY)
+    """Every given page with the number of tables found in it."""
+    pages = tables.read_pages(spark, f"{sf}/pages.parquet")
+    found = tables.extract_tables(pages).groupBy("page_id").agg(F.count("*").alias("n"))
+    return pages.select("page_id").join(found, "page_id", "left").select(
+        "page_id", F.coalesce("n", F.lit(0)).alias("n_tables"))
 
 
 @query("extract_cells", on_grids("page_id, src_row, src_idx, tag, text, rowspan, colspan, row, col"))
@@ -364,7 +367,7 @@ _SLOTS = """(SELECT page_id, row + dr AS row, col + dc AS col, text FROM (
 @query("cover", ex.with_(DOC, CUS, body=f"SELECT * FROM {_SLOTS.format('doc_c')} UNION ALL "
                          f"SELECT * FROM {_SLOTS.format('cus_c')}"))
 def _(spark, sf):
-    return grid.cover(cells_of(spark, sf, "document", "customer")).select(
+    return grid.slots(grid.cover(cells_of(spark, sf, "document", "customer"))).select(
         "page_id", "row", "col", "text")
 
 
@@ -388,14 +391,12 @@ def _(spark, sf):
     return grid.table_size(cells_of(spark, sf, *GRID_KINDS)).select("page_id", "height", "width")
 
 
-@query("column_above", ex.with_(CUS, body="""SELECT c_custkey * 4 + 2 AS page_id, x.row, x.idx,
-replace(x.path, '$1', c_name) AS above FROM customer, (VALUES (2,0,'Region'),(2,1,'Owner'),
-(2,2,'Account > Balance'),(2,3,'Account > Segment'),(3,0,'Owner > $1')) AS x(row, idx, path)"""))
+@query("column_above", ex.with_(CUS, body="""SELECT a.page_id, a.row, a.src_idx AS idx,
+string_agg(b.text, ' > ' ORDER BY b.row) AS above FROM cus_c a JOIN cus_c b ON a.page_id = b.page_id
+AND b.row < a.row AND b.col <= a.col AND a.col < b.col + b.colspan GROUP BY ALL"""))
 def _(spark, sf):
-    """Above the left column of each data row's cells, whose text is the same each time."""
     cells = stored(cells_of(spark, sf, "customer"), "cells")
-    asked = cells.where("src_row = 2 OR (src_row = 3 AND src_idx = 0)")
-    return grid.column_above(asked, grid.cover(cells)).select(
+    return grid.column_above(cells, grid.cover(cells)).select(
         "page_id", F.col("src_row").alias("row"), F.col("src_idx").alias("idx"),
         F.array_join("texts", " > ").alias("above"))
 
@@ -554,9 +555,18 @@ def _(spark, sf):
         *TABLE_KEY, "verdict", "message", "orientation")
 
 
-@query("role_completeness", "SELECT 0 AS page_id, 0 AS table_idx WHERE FALSE")
+@query("role_completeness", ex.with_(DOC, ORD, CUS, EV, body="""
+SELECT page_id, count(*) AS n_cells, 0 AS n_unclassified FROM (SELECT page_id FROM doc_c UNION ALL
+SELECT page_id FROM ord_c UNION ALL SELECT page_id FROM cus_c) GROUP BY page_id UNION ALL
+SELECT page_id, (titles + sidebars + data + results)::BIGINT, 0 FROM ev WHERE verdict = 'genuine'"""))
 def _(spark, sf):
-    return verdict.unclassified(roles_of(spark, sf)).select(*TABLE_KEY)
+    """Cells of every genuine table, and how many of them have no role: none may."""
+    cells = roles_of(spark, sf)
+    left = verdict.unclassified(cells.select("page_id", "table_idx", "role")).groupBy(*TABLE_KEY).agg(
+        F.count("*").alias("n"))
+    all_ = cells.groupBy(*TABLE_KEY).agg(F.count("*").alias("n_cells"))
+    return all_.join(left, TABLE_KEY, "left").select(
+        "page_id", "n_cells", F.coalesce("n", F.lit(0)).alias("n_unclassified"))
 
 
 # ------------------------------------------------------------------ paths and links
@@ -701,9 +711,20 @@ def _(spark, sf):
     return audit.class_balance(records_of(spark, sf))
 
 
-@query("matrix_digest")
+@query("matrix_digest", ex.with_(EV, body="""SELECT count(*) FILTER (status = 'ok') + (SELECT count(*) FROM documents)
++ (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) AS n, TRUE AS same, FALSE AS same_after_change FROM ev"""))
 def _(spark, sf):
-    return features.matrix_digest(features.features(judged_of(spark, sf)))
+    """The digest of all features: the same in another order, another one after one change."""
+    rows = stored(features.features(judged_of(spark, sf)).where("status = 'ok'"), "features")
+    first = features.matrix_digest(rows)
+    other = features.matrix_digest(rows.repartition(13, "numeric", "page_id"))
+    changed = features.matrix_digest(rows.withColumn("form", F.when(
+        F.col("page_id") == rows.agg(F.min("page_id")).first()[0], 0.25).otherwise(F.col("form"))))
+
+    def digest(df, name):
+        return df.select("n", F.struct("digest_xor", "digest_sum").alias(name))
+    return (digest(first, "a").join(digest(other, "b"), "n").join(digest(changed, "c"), "n")
+            .select("n", (F.col("a") == F.col("b")).alias("same"), (F.col("a") == F.col("c")).alias("same_after_change")))
 
 
 @query("audit_totals", ex.with_(DOC, EV, body="""
@@ -810,11 +831,13 @@ def _(spark, sf):
     return audit.all_labels(found.select(F.col("verification").alias("label")), found.select("verdict"))
 
 
-@query("distinct_in_order", "SELECT doc_id, len(list_distinct(string_split(text, chr(10)))) AS n FROM documents")
+@query("distinct_in_order", """SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS lines FROM (
+SELECT doc_id, line, min(place) AS place FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents) GROUP BY doc_id, line) GROUP BY doc_id""")
 def _(spark, sf):
-    """Distinct lines of a document, first ones kept, as grids list distinct cells."""
+    """Distinct lines of a document, first ones kept in their order, as grids list distinct cells."""
     return rendered.load(spark, sf, "documents").select(
-        "doc_id", F.size(F.array_distinct(F.split("text", "\n"))).alias("n"))
+        "doc_id", F.array_join(F.array_distinct(F.split("text", "\n")), "\n").alias("lines"))
 
 
 @query("type_subset", ex.with_(DOC, body="""SELECT page_id, header AS title,
@@ -999,7 +1022,8 @@ def _(spark, sf):
     """Whatever the model, tables the rule turned down are answered at once."""
     rows = learning_rows(spark, sf)
     model = learn.fit("Logistic Regression", rows)
-    return model.predict(rows).where("consistency = -1").select("page_id", "prediction")
+    return model.predict(rows).where("consistency = -1").select(
+        F.col("key").cast("long").alias("page_id"), "prediction")
 
 
 for _name, _title in [("random_forest", "Random Forest"), ("boosted_trees", "XGBoost"),
@@ -1094,13 +1118,17 @@ def _(spark, sf):
 
 
 # ------------------------------------------------------------------ streaming
-@query("score_stream", ex.with_(EV, body="SELECT page_id, table_idx, verdict, message, orientation, status FROM ev"))
+@query("score_stream", ex.with_(EV, body="SELECT page_id, table_idx, verdict, message, orientation, status, "
+                                        "TRUE AS answered FROM ev"))
 def _(spark, sf):
-    """Pages arrive as files; what leaves must be what the batch run says."""
+    """Pages arrive as files; what leaves must be what the batch run says, with the model's answer on
+    every table, which is no for all that the rule turned down."""
     source, out = work_folder(spark, "incoming"), work_folder(spark, "scored")
     rendered.event_pages(spark, sf).drop("kind").write.parquet(source)
     model = runs.train(records_of(spark, sf), "Logistic Regression")
     stream = streaming.read_page_stream(spark, source, files_per_batch=4)
     streaming.score_stream(stream, model, out, work_folder(spark, "stream")).awaitTermination()
+    answered = F.when(F.col("verdict") == "genuine", F.col("prediction").isin(
+        fixed.GENUINE_LABEL, fixed.NOT_GENUINE_LABEL)).otherwise(F.col("prediction") == fixed.NOT_GENUINE_LABEL)
     return spark.read.parquet(out).select(
-        *TABLE_KEY, "verdict", "message", "orientation", "status")
+        *TABLE_KEY, "verdict", "message", "orientation", "status", answered.alias("answered"))

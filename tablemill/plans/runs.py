@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..operators import audit, features, learn, verdict
 from ..operators.store import stored
-from ..sources.tables import TABLE_KEY, labelled_pages
+from ..sources.tables import TABLE_KEY, labelled_pages, record_id
 
 
 def labelled_features(records: DataFrame) -> DataFrame:
     """Features of the first table of each labelled record, with its label, stored."""
     judged = verdict.judge(labelled_pages(records)).where("table_idx = 0")
     return stored(features.features(judged).join(
-        records.select(F.col("key").cast("long").alias("page_id"), "verification"), "page_id"),
+        records.select(record_id(records).alias("page_id"), "key", "verification"), "page_id"),
         "labelled-features")
 
 
@@ -40,17 +40,18 @@ def score(pages: DataFrame, model: learn.GatedModel) -> DataFrame:
     return model.predict_inline(flagged.na.fill(-1.0, fixed.FEATURES)).drop(*fixed.FEATURES)
 
 
-SNAPSHOT_PARTS = ["verdicts", "features", "failures", "predictions", "metrics"]
+SNAPSHOT_PARTS = ["verdicts", "features", "failures", "predictions", "metrics", "digest"]
 
 
 def write_snapshot(records: DataFrame, model: learn.GatedModel, path: str) -> None:
-    """Freeze a run: verdicts, features, failures, predictions and scores, as Parquet.
+    """Freeze a run as Parquet: verdicts, features, failures, predictions, scores, and one
+    row with the number of records and the digest of all features.
 
     Records without a label have features and predictions, but no verdict and no
     part in the scores.
     """
     judged = stored(verdict.judge(labelled_pages(records)).where("table_idx = 0"), "judged")
-    labels = records.select(F.col("key").cast("long").alias("page_id"), "verification")
+    labels = records.select(record_id(records).alias("page_id"), "verification")
     known = records.where(F.col("verification") != fixed.UNLABELLED)
 
     def put(rows, part):
@@ -65,6 +66,7 @@ def write_snapshot(records: DataFrame, model: learn.GatedModel, path: str) -> No
     both = audit.scores(audit.confusion(predictions.join(labels, "page_id"), "prediction")) \
         .withColumn("stage", F.lit("rule and model"))
     put(rule.unionByName(both), "metrics")
+    put(features.matrix_digest(rows).crossJoin(records.agg(F.count("*").alias("records"))), "digest")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -77,7 +79,12 @@ def compare_snapshots(before: dict[str, DataFrame], after: dict[str, DataFrame])
         diff = audit.snapshot_diff(view(before[name]), view(after[name]), key, value, missing)
         return diff.select(F.lit(name).alias("part"),
                            F.concat_ws("/", *key).alias("key"), "was", "now")
-    return (part("verdicts", ["key"], "verdict", fixed.MISSING_RECORD)
-            .unionByName(part("features", TABLE_KEY, "vector", fixed.MISSING_RECORD,
-                              audit.feature_vectors))
+    def metrics(rows):
+        return audit.tall(rows).withColumn("value", F.round("value", 6))
+    out = (part("verdicts", ["page_id"], "verdict", fixed.MISSING_RECORD)
+           .unionByName(part("metrics", ["stage", "metric"], "value", fixed.MISSING_RECORD, metrics)))
+    if before["digest"].collect() == after["digest"].collect():      # one row each: same features
+        return out
+    return (out.unionByName(part("features", TABLE_KEY, "vector", fixed.MISSING_RECORD,
+                                 audit.feature_vectors))
             .unionByName(part("predictions", TABLE_KEY, "prediction", fixed.MISSING_PREDICTION)))

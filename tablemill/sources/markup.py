@@ -14,7 +14,7 @@ from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
 
-from ..functions.spans import place
+from ..functions.spans import SPAN_BITS, place, shown
 
 # ---------------------------------------------------------------- fixed values: tags
 VOID = frozenset(
@@ -22,7 +22,6 @@ VOID = frozenset(
     "basefont bgsound command frame image isindex nextid spacer".split())
 SILENT = frozenset(["script", "style", "template", "rt", "rp"])   # their text is no cell text
 RAW = ("script", "style")                                         # no tags inside
-SPAN_MAX = 2 ** 31 - 1
 
 # Well-formed markup, one token at a time. A page with anything else is left to
 # the standard library's reader, whose results on these tokens are the same.
@@ -210,17 +209,27 @@ def _read(html):
 
 
 def _span(text):
-    """Declared span; raises ValueError when it is no integer."""
-    return max(-SPAN_MAX, min(int(text or ""), SPAN_MAX))
+    """Declared span; raises ValueError when it is no integer, or one no table can have."""
+    span = int(text or "")
+    if abs(span) >> SPAN_BITS:
+        raise ValueError(f"span out of range: {text!r}")
+    return span
 
 
 def _place(rows):
     """Write every cell's place into it; tell whether any overlap."""
-    columns, overlaps = place([[(c["rowspan"], c["colspan"]) for c in row] for row in rows])
-    home = {}
+    spans = [[(c["rowspan"], c["colspan"]) for c in row] for row in rows]
+    columns, overlaps = place(spans)
+    home, no = {}, 0
     for r, (row, cols) in enumerate(zip(rows, columns)):
         for cell, col in zip(row, cols):
-            cell["row"], cell["col"] = home[cell["node"]] = r, col
+            cell["row"], cell["col"] = home[cell["node"]] = cell["shown_row"], cell["shown_col"] = r, col
+            cell["no"] = no
+            no += 1
+    if overlaps or any(h < 1 or w < 1 for line in spans for h, w in line):
+        for row, places in zip(rows, shown(spans)):
+            for cell, (r, col) in zip(row, places):
+                cell["shown_row"], cell["shown_col"] = r, col
     for row in rows:
         for cell in row:      # an element listed twice is known by its last place
             cell["home_row"], cell["home_col"] = home[cell["node"]]

@@ -15,8 +15,9 @@ TABLE_KEY = ["page_id", "table_idx"]
 
 _ARROW_CELL = pa.struct([
     ("node", pa.int32()), ("tag", pa.string()), ("text", pa.string()),
-    ("tags", pa.list_(pa.string())), ("rowspan", pa.int32()), ("colspan", pa.int32()),
+    ("tags", pa.list_(pa.string())), ("rowspan", pa.int64()), ("colspan", pa.int64()),
     ("row", pa.int32()), ("col", pa.int64()), ("home_row", pa.int32()), ("home_col", pa.int64()),
+    ("no", pa.int32()), ("shown_row", pa.int32()), ("shown_col", pa.int64()),
     ("gt_id", pa.string()), ("style", pa.string()), ("at", pa.int32()), ("at_len", pa.int32())])
 _ARROW_TABLES = pa.list_(pa.struct([
     ("table_idx", pa.int32()), ("status", pa.string()), ("problem", pa.string()),
@@ -36,10 +37,10 @@ html_tables = html_tables.asNondeterministic()
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Saved pages as (page_id, url, html); ``fmt`` "text" reads one page per file."""
+    """Saved pages as (page_id, url, html); ``fmt`` "text" reads one page per file, known by its path."""
     if fmt == "text":
         return (spark.read.text(path, wholetext=True)
-                .select(F.xxhash64(F.input_file_name()).alias("page_id"),
+                .select(F.input_file_name().alias("page_id"),
                         F.input_file_name().alias("url"), F.col("value").alias("html")))
     return spark.read.format(fmt).load(path).select("page_id", "url", "html")
 
@@ -57,8 +58,9 @@ def read_labelled(spark: SparkSession, path: str, wholetext: bool = False,
     """
     record = F.col("record")
     rows = (spark.read.text(path, wholetext=wholetext)
-            .select(F.explode(F.from_json("value", RECORDS)).alias("key", "record"))
-            .select("key", record["name"].alias("name"), record["url"].alias("url"),
+            .select(F.input_file_name().alias("file"),
+                    F.explode(F.from_json("value", RECORDS)).alias("key", "record"))
+            .select("file", "key", record["name"].alias("name"), record["url"].alias("url"),
                     record["html_text"].alias("html_text"),
                     F.coalesce(record["verification"], F.lit(fixed.UNLABELLED))
                     .alias("verification"))
@@ -66,10 +68,16 @@ def read_labelled(spark: SparkSession, path: str, wholetext: bool = False,
     return rows.where(F.col("verification") != fixed.UNLABELLED) if labelled_only else rows
 
 
+def record_id(records: DataFrame) -> Column:
+    """What tells a record from all others: its key as it is, behind its file's name if known."""
+    if "file" in records.columns:
+        return F.concat(F.col("file"), F.lit("#"), F.col("key"))
+    return F.col("key").cast("string")
+
+
 def labelled_pages(records: DataFrame) -> DataFrame:
-    """Labelled records in the shape of pages, keyed by their record number."""
-    return records.select(F.col("key").cast("long").alias("page_id"), "url",
-                          F.col("html_text").alias("html"))
+    """Labelled records in the shape of pages; ``page_id`` is ``record_id``, a text."""
+    return records.select(record_id(records).alias("page_id"), "url", F.col("html_text").alias("html"))
 
 
 def extract_tables(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -85,11 +93,6 @@ def extract_tables(pages: DataFrame, html: str = "html") -> DataFrame:
             .select(*keep, "t.*"))
 
 
-def first_tables(tables: DataFrame) -> DataFrame:
-    """What callers that expect one table per page look at."""
-    return tables.where(F.col("table_idx") == 0)
-
-
 def typed_rows(rows: Column) -> Column:
     """Rows with each cell's ``detail`` and coarse ``type`` filled in, in place."""
     detailed = F.transform(rows, lambda row: F.transform(
@@ -119,8 +122,8 @@ _UDTF_ROW = T.StructType([
     T.StructField(name, kind) for name, kind in [
         ("table_idx", T.IntegerType()), ("src_row", T.IntegerType()),
         ("src_idx", T.IntegerType()), ("tag", T.StringType()), ("text", T.StringType()),
-        ("tags", T.ArrayType(T.StringType())), ("rowspan", T.IntegerType()),
-        ("colspan", T.IntegerType()), ("row", T.IntegerType()), ("col", T.LongType())]])
+        ("tags", T.ArrayType(T.StringType())), ("rowspan", T.LongType()),
+        ("colspan", T.LongType()), ("row", T.IntegerType()), ("col", T.LongType())]])
 
 
 @F.udtf(returnType=_UDTF_ROW)

@@ -138,9 +138,9 @@ def test_cover_settles_overlaps(as_pages):
         for r in range(c.row, min(c.row + c.rowspan, c.height)):
             for k in range(c.col, c.col + c.colspan):
                 expected[c.page_id, r, k] = c.text
-    got = {(r.page_id, r.row, r.col): r.text for r in grid.cover(cells).collect()}
+    got = {(r.page_id, r.row, r.col): r.text for r in grid.slots(grid.cover(cells)).collect()}
     assert got == expected and overlapping
-    assert grid.cover(cells).count() == len(expected)
+    assert grid.slots(grid.cover(cells)).count() == len(expected)
 
 
 def test_left_tables_keep_page_places(as_pages):

@@ -4,7 +4,9 @@ import pytest
 from conftest import table
 from pyspark.sql import functions as F
 
-from tablemill.operators import rules, verdict
+from tablemill.operators import lines, verdict
+from tablemill.functions import spans
+from tablemill.operators import grid
 from tablemill.sources import tables
 
 HEAD = ["Name", "Value"]
@@ -82,15 +84,21 @@ def random_grids():
     return grids
 
 
-def test_native_check_equals_line_reader(as_pages, random_grids):
-    """Span-free grids: expressions and line reader agree on verdict, message and roles."""
+def leaf(rows):
+    """A table's rows as the leaf takes them."""
+    return [[{"k": c.no, "detail": c.detail, "type": c.type, "h": c.rowspan, "w": c.colspan,
+              "pos": c.shown_col, "y": c.shown_row} for c in row] for row in rows]
+
+
+def test_both_checks_agree_on_span_free_grids(as_pages, random_grids):
+    """The closed expressions and the leaf over lines give the same verdict, message and roles."""
     typed = tables.type_tables(tables.extract_tables(as_pages(random_grids)))
     judged = verdict.judge_tables(typed).collect()
     assert len(judged) == len(random_grids) and {r.verdict for r in judged} >= {
         "genuine", "TitleTypeError", "DataTypeError"}
     for r in judged:
         assert r.plain
-        told = rules.judge([[c.asDict() for c in row] for row in r.rows])
+        told = lines.judge(leaf(r.rows))
         assert told["kind"] == r.verdict
         if r.verdict == "genuine":
             mine = {(p.k, p.role, p.p_row, p.p_col) for p in r.placed}
@@ -105,27 +113,67 @@ def test_native_check_equals_line_reader(as_pages, random_grids):
                 assert shown in r.message
 
 
-def test_turning_twice_gives_the_grid_back():
+def tiled(rng, h, w):
+    """A grid of h by w slots cut into cells at random: rows of (rowspan, colspan)."""
+    owner, rows = {}, [[] for _ in range(h)]
+    for r in range(h):
+        for c in range(w):
+            if (r, c) not in owner:
+                rs, cs = rng.choice([1, 1, 2, h - r]), rng.choice([1, 1, 2, w - c])
+                rs, cs = min(rs, h - r), min(cs, w - c)
+                while any((r, c + d) in owner for d in range(cs)):
+                    cs -= 1
+                owner.update({(r + i, c + j): True for i in range(rs) for j in range(cs)})
+                rows[r].append((c, rs, cs))
+    return rows
+
+
+def test_turning_twice_gives_the_grid_back(as_pages):
     rng = random.Random(5)
+    grids = [g for g in (tiled(rng, rng.randint(2, 6), rng.randint(2, 6)) for _ in range(300))
+             if all(g) and len({c for row in g for c, _, _ in row}) == 1 + max(
+                 c + cs - 1 for row in g for c, _, cs in row)]
+    pages = as_pages([table(*[[f"<td rowspan={rs} colspan={cs}>x</td>" for _, rs, cs in row] for row in g])
+                      for g in grids])
+    for r in tables.type_tables(tables.extract_tables(pages)).collect():
+        grid_ = [[lines.Cell(c["k"], c["detail"], c["type"], c["h"], c["w"], i, c["pos"], c["y"]) for c in row]
+                 for i, row in enumerate(leaf(r.rows))]
+        back = lines.turned(lines.turned(grid_))
+        assert [[(c.k, c.h, c.w) for c in row] for row in back] == [[(c.k, c.h, c.w) for c in row] for row in grid_]
+
+
+def test_shown_is_the_first_slot_left_to_a_cell():
+    rng = random.Random(8)
     for _ in range(300):
-        h, w = rng.randint(1, 6), rng.randint(1, 6)
-        owner, spans = {}, []
-        for r in range(h):
-            for c in range(w):
-                if (r, c) not in owner:
-                    rs, cs = rng.randint(1, h - r), rng.randint(1, w - c)
-                    while any((r, c + d) in owner for d in range(cs)):
-                        cs -= 1
-                    owner.update({(r + i, c + j): len(spans) for i in range(rs) for j in range(cs)})
-                    spans.append((r, rs, cs))
-        rows = [[{"detail": "STRING", "rowspan": rs, "colspan": cs} for rr, rs, cs in spans if rr == r]
-                for r in range(h)]
-        starts = {min(k for rr, k in owner if owner[rr, k] == n) for n in range(len(spans))}
-        if not all(rows) or len(starts) < w:
-            continue          # a line in which no cell starts is no line: spans then shift
-        lines = rules.fresh(rows)
-        before = [[c.k for c in line] for line in lines]
-        assert [[c.k for c in line] for line in rules.turned(rules.turned(lines))] == before
+        rows = [[(rng.choice([0, 1, 1, 2, 3, 9]), rng.choice([0, 1, 1, 2, 3, 9])) for _ in range(rng.randint(1, 4))]
+                for _ in range(rng.randint(1, 4))]
+        limit, taken, n = sum(w for _, w in rows[0]), {}, 0
+        for r, row in enumerate(rows):
+            col = 0
+            for h, w in row:
+                while col < limit and (r, col) in taken:
+                    col += 1
+                for rr in range(r, min(r + h, len(rows))):
+                    for c in range(col, min(col + w, limit)):
+                        taken[rr, c] = n
+                col, n = col + w, n + 1
+        first = {}
+        for c, r in sorted((c, r) for r, c in taken):
+            first.setdefault(taken[r, c], (r, c))
+        got = [place for row in spans.shown(rows) for place in row]
+        assert got == [first.get(i, (None, None)) for i in range(n)], rows
+
+
+def test_a_span_of_any_width_costs_nothing(as_pages):
+    wide = table(HEAD, ["a", "<td colspan=300000000>1</td>"], ["b", "2"])
+    far = table(HEAD, ["a", f"<td colspan={1 << 60}>1</td>"], ["b", "2"])
+    cells = tables.extract_cells(tables.extract_tables(as_pages([wide, far, table(HEAD, ["a", "1"])])))
+    covered = grid.cover(cells)
+    asked = cells.select("page_id", "table_idx", F.lit(1).alias("row"), F.lit(299_999_999).cast("bigint").alias("col"))
+    assert {(r.page_id, r.text) for r in grid.cell_at(covered, asked.distinct()).collect()} == {(0, "1"), (2, None)}
+    assert covered.where("page_id = 0").count() == 6
+    told = {r.page_id: r for r in verdict.verdicts(verdict.judge(as_pages([wide, far]))).collect()}
+    assert "colspan=300000000" in told[0].message and told[1].status == "bad_span"
 
 
 def test_every_genuine_cell_has_a_role(as_pages, random_grids):
