@@ -16,18 +16,14 @@ from .common import stored
 NEAREST = 20
 #: Vectors that the two codebooks are fitted to, chosen by digest; every vector is indexed.
 SAMPLE = 20_000
-#: Entries of each codebook: twice the fourth root of the table, so that cells hold a quarter of its
-#: square root, but no more than this; the counts of CODES * CODES cells at most are broadcast.
-CODES = 256
-#: Distinct vectors that a query looks at before it stops opening cells. More for a larger
-#: table, by the square root of its size, as cells then hold more that is not near.
-LOOK, LOOK_PER_ROOT = 1000, 10
-#: Vectors of one cell that are compared with the cell's queries in one go.
-BLOCK = 2048
-#: Blocks of one cell from which on its queries are split as well.
-SPLIT = 16
-#: Queries that are compared with a block in one go.
-BATCH = 256
+#: Entries of each codebook: eight times the fourth root of the number of distinct vectors, up to
+#: this; the counts of at most CODES * CODES cells are broadcast.
+CODES = 96
+#: How much of the index a query opens is fitted to the sample: so much that TRIED of its vectors find
+#: this share of their neighbours there, and FEWEST distinct vectors at least.
+RECALL, TRIED, FEWEST = 0.95, 200, 2000
+#: Vectors, and queries, that one task compares in one go.
+BLOCK, QUERIES = 4096, 4096
 
 
 def usable(vector: Column) -> Column:
@@ -80,59 +76,84 @@ def kmeans(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def codebooks(classes: DataFrame, sample: int, codes: int) -> tuple[np.ndarray, np.ndarray]:
-    """One codebook for each half, of a sample of at most ``sample`` distinct vectors."""
+def codebooks(classes: DataFrame, sample: int, codes: int, nearest: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """One codebook for each half, of a sample of at most ``sample`` distinct vectors, and the share to open."""
     taken = (classes.orderBy(F.xxhash64("class_id"), "class_id").limit(sample)
              .select("vector").toPandas()["vector"])
     points = _matrix(taken)
     half = max(1, points.shape[1] // 2)
-    return kmeans(points[:, :half], codes), kmeans(points[:, half:], codes)
+    one, two = kmeans(points[:, :half], codes), kmeans(points[:, half:], codes)
+    return one, two, share_to_open(points, one, two, nearest)
+
+
+def share_to_open(points: np.ndarray, one: np.ndarray, two: np.ndarray, nearest: int) -> float:
+    """The share of the sample that comes first in the order of its cells and holds ``RECALL`` of the
+    neighbours of ``TRIED`` of its vectors. In a larger table neighbours are nearer and come earlier."""
+    half = one.shape[1]
+    asked = points[:TRIED]
+    if len(points) <= nearest + 1:
+        return 1.0
+    near, far = codes_of(points[:, :half], one), codes_of(points[:, half:], two)
+    by_cell = (asked[:, :half] @ one.T)[:, near] + (asked[:, half:] @ two.T)[:, far]
+    score = asked @ points.T
+    own = np.arange(len(asked))
+    score[own, own] = by_cell[own, own] = -np.inf
+    best = np.argpartition(-score, nearest, axis=1)[:, :nearest]
+    ahead = (by_cell[:, None, :] >= np.take_along_axis(by_cell, best, 1)[:, :, None]).sum(axis=2)
+    return float(np.quantile(ahead / len(points), RECALL))
 
 
 def cells_in_order(first: np.ndarray, second: np.ndarray, counts: dict[int, int], codes: int,
-                   enough: int) -> list[int]:
-    """The cells to open, best first, until they hold ``enough``.
+                   enough: int) -> tuple[list[int], float]:
+    """The cells to open, best first, until they hold ``enough``, and the last one's sum.
 
     ``first`` and ``second`` are the inner products of a query's halves with
     the codebooks. Pairs come off a heap by their sum: a pair enters when the pair
     before it in its row or column has left, so only the corner that is looked at is built.
     """
-    a, b = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
-    heap = [(-(first[a[0]] + second[b[0]]), 0, 0)]
-    open_, held = [], 0
+    a, b = np.argsort(-first, kind="stable").tolist(), np.argsort(-second, kind="stable").tolist()
+    x, y = first[a].tolist(), second[b].tolist()
+    heap = [(-(x[0] + y[0]), 0, 0)]
+    open_, held, bar = [], 0, np.inf
     while heap and held < enough:
-        _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * codes + int(b[j])
+        minus, i, j = heapq.heappop(heap)
+        cell = a[i] * codes + b[j]
         n = counts.get(cell, 0)
         if n:
             open_.append(cell)
-            held += n
+            held, bar = held + n, -minus
         if j + 1 < len(b):
-            heapq.heappush(heap, (-(first[a[i]] + second[b[j + 1]]), i, j + 1))
+            heapq.heappush(heap, (-(x[i] + y[j + 1]), i, j + 1))
         if j == 0 and i + 1 < len(a):
-            heapq.heappush(heap, (-(first[a[i + 1]] + second[b[0]]), i + 1, 0))
-    return open_
+            heapq.heappush(heap, (-(x[i + 1] + y[0]), i + 1, 0))
+    return open_, bar
+
+
+def codes_of(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest entry of a codebook for each half vector."""
+    if not centres.shape[1]:
+        return np.zeros(len(points), np.int64)
+    return ((centres ** 2).sum(1)[None, :] - 2 * points @ centres.T).argmin(1)
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_list()).astype(np.float64)
 
 
-def _best(queries: np.ndarray, vectors: np.ndarray, keys: np.ndarray, most: int):
-    """(query place, key, score) of each query's ``most`` best: a fast product chooses a few
-    more than needed, an exact one ranks them."""
-    rough = queries @ vectors.T
-    slack = 1e-9 * (1 + np.abs(rough).max(axis=1, keepdims=True))
+def _best(queries: np.ndarray, vectors: np.ndarray, keys: np.ndarray, open_: np.ndarray, most: int):
+    """(query place, key, score) of each query's ``most`` best among what it opened: a fast product
+    chooses a few more than needed, one summed in a fixed order ranks them."""
+    rough = np.where(open_, queries @ vectors.T, -np.inf)
     if rough.shape[1] > most:
         bar = np.partition(rough, rough.shape[1] - most, axis=1)[:, rough.shape[1] - most]
-        q, v = np.nonzero(rough >= bar[:, None] - slack)
+        slack = 1e-9 * (1 + np.abs(np.where(open_, rough, 0)).max(axis=1))
+        q, v = np.nonzero(open_ & (rough >= (bar - slack)[:, None]))
     else:
-        q, v = np.nonzero(np.ones_like(rough, dtype=bool))
+        q, v = np.nonzero(open_)
     score = (queries[q] * vectors[v]).sum(axis=1)
     order = np.lexsort((keys[v], -score, q))
     q, v, score = q[order], v[order], score[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    keep = place < most
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < most
     return q[keep], keys[v[keep]], score[keep]
 
 
@@ -154,61 +175,68 @@ def search(rows: DataFrame, asks: Column, nearest: int = NEAREST, key: str = "ve
     total = classes.count()
     if not total:
         return spark.createDataFrame([], out)
-    enough = look or int(LOOK + LOOK_PER_ROOT * math.sqrt(total))
-    codes = codes or max(2, min(CODES, round(2 * total ** 0.25)))
-    one, two = codebooks(classes, sample, codes)
+    codes = codes or max(2, min(CODES, round(8 * total ** 0.25)))
+    one, two, share = codebooks(classes, sample, codes, nearest)
+    enough = look or max(FEWEST, math.ceil(share * total))
     kind = classes.schema["vector"].dataType.simpleString()
     half, width = one.shape[1], len(two)
 
-    def nearest_code(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-        if not centres.shape[1]:
-            return np.zeros(len(points), np.int64)
-        return ((centres ** 2).sum(1)[None, :] - 2 * points @ centres.T).argmin(1)
-
     @F.pandas_udf("int")
     def cell_of(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype="int32")
         v = _matrix(vectors)
-        return pd.Series(nearest_code(v[:, :half], one) * width + nearest_code(v[:, half:], two),
-                         dtype="int32")
+        return pd.Series(codes_of(v[:, :half], one) * width + codes_of(v[:, half:], two), dtype="int32")
 
     indexed = stored(classes.withColumn("cell", cell_of("vector")), "cells")
     sizes = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}
-    blocks = {c: math.ceil(n / BLOCK) for c, n in sizes.items()}
-    parts = {c: math.ceil(n / SPLIT) for c, n in blocks.items()}
-    cut = stored(spark.createDataFrame([(c, n, parts[c]) for c, n in blocks.items()],
-                                       "cell int, blocks int, parts int"), "cuts")
-    entries = (indexed.join(F.broadcast(cut), "cell")
-               .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
-               .select("cell", F.pmod(F.xxhash64("class_id"), "blocks").cast("int").alias("block"),
-                       "part", "class_id", "vector"))
+    # neighbouring entries of the first codebook share a group; a large group is cut into blocks
+    groups = min(len(one), math.ceil(2 * total / BLOCK))
+    group_of = np.arange(len(one)) * groups // len(one)
+    held = np.zeros(groups, np.int64)
+    for cell, n in sizes.items():
+        held[group_of[cell // width]] += n
+    cuts = np.ceil(held / BLOCK).astype(int).tolist()
     # one search for all queries with the same vector
-    asking = members.where(asks).select("class_id").distinct().join(classes.select("class_id", "vector"), "class_id")
+    asking = stored(members.where(asks).select("class_id").distinct()
+                    .join(classes.select("class_id", "vector"), "class_id"), "asking")
+    parts = max(1, math.ceil(asking.count() / QUERIES))
+    first = F.floor(F.col("cell") / width)
+    group = F.floor(first * groups / len(one)).cast("int")
+    block = F.pmod(F.xxhash64("class_id"), F.greatest(F.get(F.array(*[F.lit(c) for c in cuts]), group), F.lit(1)))
+    entries = indexed.select(group.alias("group"), block.cast("int").alias("block"),
+                             F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
+                             "cell", "class_id", "vector")
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             v = _matrix(batch["vector"])
             a, b = v[:, :half] @ one.T, v[:, half:] @ two.T
-            found = [(q, vec, c, k, q % parts[c])
-                     for q, vec, x, y in zip(batch["class_id"], batch["vector"], a, b)
-                     for c in cells_in_order(x, y, sizes, width, enough) for k in range(blocks[c])]
-            yield pd.DataFrame(found, columns=["query", "vector", "cell", "block", "part"])
+            found = []
+            for q, vector_, x, y in zip(batch["class_id"], batch["vector"], a, b):
+                _, bar = cells_in_order(x, y, sizes, width, enough)
+                for g in np.unique(group_of[x + y.max() >= bar - 1e-9]).tolist():
+                    found += [(q, vector_, bar, g, k, q % parts) for k in range(cuts[g])]
+            yield pd.DataFrame(found, columns=["query", "vector", "bar", "group", "block", "part"])
 
-    probes = asking.mapInPandas(opened, f"query long, vector {kind}, cell int, block int, part int")
+    probes = asking.mapInPandas(
+        opened, f"query long, vector {kind}, bar double, group int, block int, part int")
 
     def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query": [], "class_id": [], "score": []})
-        vectors, keys = _matrix(right["vector"]), right["class_id"].to_numpy()
+        asked, vectors = _matrix(left["vector"]), _matrix(right["vector"])
+        cell, keys, query = (right["cell"].to_numpy(), right["class_id"].to_numpy(), left["query"].to_numpy())
         out = []
-        for at in range(0, len(left), BATCH):
-            some = left.iloc[at:at + BATCH]
-            q, k, s = _best(_matrix(some["vector"]), vectors, keys, nearest + 1)
-            out.append(pd.DataFrame({"query": some["query"].to_numpy()[q], "class_id": k, "score": s}))
+        for at in range(0, len(left), 512):
+            some = asked[at:at + 512]
+            sums = (some[:, :half] @ one.T)[:, cell // width] + (some[:, half:] @ two.T)[:, cell % width]
+            open_ = sums >= left["bar"].to_numpy()[at:at + 512, None] - 1e-9
+            q, k, s = _best(some, vectors, keys, open_, nearest + 1)
+            out.append(pd.DataFrame({"query": query[at:at + 512][q], "class_id": k, "score": s}))
         return pd.concat(out)
 
-    near = (probes.groupBy("cell", "block", "part").cogroup(entries.groupBy("cell", "block", "part"))
+    near = (probes.groupBy("group", "block", "part").cogroup(entries.groupBy("group", "block", "part"))
             .applyInPandas(compare, "query long, class_id long, score double"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "class_id")
     best = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= nearest + 1)

@@ -77,8 +77,18 @@ def test_recall_in_whole_table(spark):
     assert all(len(v) == 20 for v in got.values())
 
 
-def test_large_cells_are_cut(spark, monkeypatch):
+def test_recall_of_vectors_without_structure(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rng.normal(size=(4000, 48)))]
+    got = found(neighbours.search(make(spark, rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0,
+                                  sample=1500))
+    want = plain_nearest(rows, lambda k: k % 20 == 0, 20)
+    assert sum(len({j for j, _ in got[k]} & {j for j, _ in want[k]}) for k in want) >= 0.9 * 20 * len(want)
+
+
+def test_large_groups_are_cut(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "QUERIES", 4)
     rows = vectors(500, 8, 4)
     got = found(neighbours.search(make(spark, rows, "vec_id long, embedding array<float>"),
                                   F.col("vec_id") % 50 == 0, codes=2, look=500))
@@ -97,9 +107,10 @@ def test_pairs_come_by_their_sum():
     for _ in range(50):
         a, b = rng.normal(size=4), rng.normal(size=5)
         counts = {i: int(rng.integers(0, 3)) for i in range(20)}
-        got = neighbours.cells_in_order(a, b, counts, 5, 10 ** 9)
+        got, bar = neighbours.cells_in_order(a, b, counts, 5, 10 ** 9)
         order = sorted(((-(a[i] + b[j]), i * 5 + j) for i in range(4) for j in range(5)))
         assert got == [c for _, c in order if counts[c]]
+        assert bar == pytest.approx(-max(s for s, c in order if counts[c]))
 
 
 # -- components -----------------------------------------------------------------------------------
