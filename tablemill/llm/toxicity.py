@@ -19,9 +19,9 @@ SAMPLE = 12_000
 #: Terms, the most frequent of the sample; exact terms, so that no clean word shares a weight.
 TERMS = 1 << 15
 FOLDS = 2
-ROUNDS = 16
+ROUNDS = 12
 #: The bounded sample is read in so many tasks: a fit is a hundred short jobs.
-TASKS = 6
+TASKS = 4
 PENALTY = 1e-4
 
 TERM = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
