@@ -6,10 +6,11 @@ this module computes anything.
 """
 
 # ---------------------------------------------------------------- fixed values: tags
-FORMATTING_TAGS = (
-    "b strong i em u s strike del ins mark small sub sup code kbd samp var "
-    "pre span font br wbr dfn div h1 h2 h3 h4 h5 h6 h7 h8 h9 p abbr"
-).split()
+FORMATTING_TAGS = [
+    "b", "strong", "i", "em", "u", "s", "strike", "del", "ins", "mark", "small", "sub", "sup", "code", "kbd",
+    "samp", "var", "pre", "span", "font", "br", "wbr", "dfn", "div", "h1", "h2", "h3", "h4", "h5", "h6", "h7",
+    "h8", "h9", "p", "abbr",
+]
 CELL_TAGS = ["td", "th"]
 FORM_TAGS = ["input", "button", "select", "textarea"]
 INPUT_TAGS = ["input", "select", "textarea"]
@@ -54,23 +55,17 @@ UNITS = (
     "бит|бита|битов|байт|байта|байтов|кб|мб|гб|тб|kb|mb|gb|tb|byte|bytes|kilobyte|megabyte|gigabyte|terabyte"
 )
 MEASUREMENT_PATTERN = r"^\s*(\d+([.,]\d+)?\s*(" + UNITS + r")\b)\s*$"
-# The fourth shape is stated with its repeated group merged, which accepts the same texts.
 DIMENSION_PATTERNS = [
     r"^\s*-?\s*\d+\s*$",
     r"^\s*-?\s*\d+[.,]\d+\s*$",
     r"^\s*-?\s*\d+(?:\s+\d+)+\s*$",
-    r"^\s*-?\s*\d+(?:\s+\d+)+[.,]\d+\s*$",
+    r"^\s*-?\s*\d+(?:\s+\d+)*\s+\d+[.,]\d+\s*$",
     r"^\s*[+-]?[.,]\d+\s*$",
     r"^\s*-?\s*\d{1,3}(?:,\d{3})+(?:\.\d+)?\s*$",
     r"^\s*-?\s*\d{1,3}(?:\.\d{3})+(?:,\d+)?\s*$",
 ]
 
 # ---------------------------------------------------------------- fixed values: types and roles
-DETAIL_TYPES = (
-    "BUTTON INPUT_BOX PHOTO VIDEO AUDIO MIXED DATE TIME MONEY PERCENT "
-    "MEASUREMENT DIMENSION STRING LINK OTHER NO_DATA"
-).split()
-COARSE_TYPES = "GENUINE FORM STRING MEDIA OTHER NO_DATA LINK".split()
 COARSE_OF_DETAIL = {
     "GENUINE": ["DATE", "TIME", "MONEY", "PERCENT", "MEASUREMENT", "DIMENSION"],
     "FORM": ["BUTTON", "INPUT_BOX"],
@@ -118,7 +113,6 @@ VERDICT_TEXTS = {
     "overrun": 'Ячейка "{0}" имеет rowspan={1}, но таблица закончилась (выходит за пределы по вертикали)',
     "split_wide": 'Несоответствие colspan в строке {0}: потомки ячейки "{1}" (colspan={2}) в сумме шире родителя',
     "split_short": 'Несоответствие colspan в строке {0}: родительская ячейка "{1}" имеет colspan={2}, а потомки покрывают только {3}.',
-    "total_early": "Перед перерезом в строке {0} должны быть ячейки с данными (CELL_DATA)",
     "total_width": "Перерез в строке {0} должен быть на всю ширину таблицы. Ожидается {1}, получено {2}",
     "total_label": 'в строке таблицы \n "{0} | " \n нет типа данных строка',
     "total_left": 'ячейка "{0}" с типом данных DetailedDataType.{1} в срезе не соответствует типу данных "DetailedDataType.NO_DATA"',
@@ -126,7 +120,6 @@ VERDICT_TEXTS = {
     "column_type": 'Несовместимые типы данных в столбце:\n  Родительская ячейка: "{0}" (тип: DetailedDataType.{1})\n  Дочерняя ячейка: "{2}" (тип: DetailedDataType.{3})',
     "bad_row_span": "rowspan должен быть целым числом не меньше 0",
     "bad_col_span": "colspan должен быть целым числом больше 0",
-    "too_large": "сетка таблицы слишком велика",
 }
 ROLE_NOUNS = {"title": "заголовок", "sidebar": "боковик"}
 NO_TABLE_TEXT = "в переданном коде нет таблицы"

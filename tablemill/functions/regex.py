@@ -35,5 +35,7 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
         pos += 2
     # A repeated group of variable length recurses once per repetition in
     # java.util.regex; the possessive form loops and accepts the same texts.
-    body = "".join(out).replace(rf"(?:[{SPACES}]+\p{{Nd}}+)+", rf"(?:[{SPACES}]+\p{{Nd}}+)++")
+    # A group repeated before one more of itself is that group once or more, without the retries.
+    again = rf"(?:[{SPACES}]+\p{{Nd}}+)*[{SPACES}]+\p{{Nd}}+"
+    body = "".join(out).replace(again, rf"(?:[{SPACES}]+\p{{Nd}}+)+").replace(rf"(?:[{SPACES}]+\p{{Nd}}+)+", rf"(?:[{SPACES}]+\p{{Nd}}+)++")
     return ("(?iu)" if ignore_case else "") + body

@@ -264,6 +264,13 @@ def annotate_pages(pages: DataFrame, judged: DataFrame, accepted: Column | None
                       "tables", "genuine")
 
 
+def without_tables(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """``answers`` with one more for each page that holds no table."""
+    empty = (pages.select("page_id").join(answers.select("page_id").distinct(), "page_id", "left_anti")
+             .withColumn("genuine", F.lit(False)).withColumn("reason", F.lit(fixed.NO_TABLE_TEXT)))
+    return answers.unionByName(empty, allowMissingColumns=True)
+
+
 def analyze(judged: DataFrame, cells: DataFrame, documents: DataFrame,
             accepted: DataFrame | None = None) -> DataFrame:
     """The answer on each table: genuine or why not, its numbered cells, its export.
@@ -271,6 +278,7 @@ def analyze(judged: DataFrame, cells: DataFrame, documents: DataFrame,
     ``cells`` are ``described`` cells; those with a page number (``gt_id``) are
     listed with role, hint lines, type line and the numbers to highlight.
     ``accepted`` (key, prediction) is the model's answer on tables the rule passed.
+    ``without_tables`` adds the answer on pages that hold none.
     """
     lit_ids = F.when(F.col("role") == "result", F.transform("summed", lambda s: s["gt_id"])) \
         .otherwise(F.transform(related(), lambda n: n["gt_id"]))

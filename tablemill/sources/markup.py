@@ -17,9 +17,9 @@ from html.parser import HTMLParser
 from ..functions.spans import SPAN_BITS, place, shown
 
 # ---------------------------------------------------------------- fixed values: tags
-VOID = frozenset(
-    "area base br col embed hr img input keygen link menuitem meta param source track wbr "
-    "basefont bgsound command frame image isindex nextid spacer".split())
+VOID = frozenset([
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param",
+    "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer"])
 SILENT = frozenset(["script", "style", "template", "rt", "rp"])   # their text is no cell text
 RAW = ("script", "style")                                         # no tags inside
 
