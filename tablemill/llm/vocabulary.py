@@ -7,7 +7,7 @@ import re
 from functools import lru_cache
 
 #: Characters of text, and as many again for each entry, that a worker remembers the ids of; then it starts anew.
-REMEMBERED = 12_000_000
+REMEMBERED = 36_000_000
 ENTRY = 30
 
 #: Letters that normalisation leaves alone but for their case; the capital dotted I becomes two characters.
