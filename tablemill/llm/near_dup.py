@@ -18,11 +18,11 @@ from .components import components
 from .hashing import BINS, TOKENS, binned, mixed, shingles, tokens
 
 #: Independent trees, and how deep a tree may branch.
-TREES, DEPTH = 8, 8
+TREES, DEPTH = 8, 4
 #: A node of so many sets is compared exhaustively; larger ones branch.
 SMALL = 48
 #: Large nodes need not branch once comparing them takes no more pairs than this for each set of the table.
-PAIRS_EACH = 64
+PAIRS_EACH = 512
 
 
 @dataclass(frozen=True)
