@@ -22,7 +22,7 @@ TREES, DEPTH = 8, 4
 #: A node of so many sets is compared exhaustively; larger ones branch.
 SMALL = 48
 #: Large nodes need not branch once comparing them takes no more pairs than this for each set of the table.
-PAIRS_EACH = 2048
+PAIRS_EACH = 512
 
 
 @dataclass(frozen=True)
