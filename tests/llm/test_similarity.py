@@ -273,6 +273,21 @@ def test_exact_copies_and_bounds(spark):
     assert substrings.shared(make(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [45, 60])
+def test_passages_made_of_frequent_lines(spark, size):
+    rng = random.Random(size)
+    words = [f"w{i}" for i in range(20_000)]
+    lines = [rng.choices(words, k=size) for _ in range(3)]
+    items = []
+    for i in range(150):
+        some = lines[i % 3]
+        if i in (40, 41, 80, 81):                        # two lines together, in two documents only
+            some = lines[0] + lines[1] if i < 80 else lines[1] + lines[2]
+        items.append((i, " ".join(rng.choices(words, k=40) + some + rng.choices(words, k=40))))
+    got = substrings.shared(make(spark, items)).where(f"n_matched >= {2 * size}").collect()
+    assert {tuple(sorted((r.doc_a, r.doc_b))) for r in got} == {(40, 41), (80, 81)}
+
+
 def plain_chain(a, b, n, cost):
     order = sorted(range(len(a)), key=lambda j: b[j])
     best = {}
