@@ -288,6 +288,26 @@ def test_passages_made_of_frequent_lines(spark, size):
     assert {tuple(sorted((r.doc_a, r.doc_b))) for r in got} == {(40, 41), (80, 81)}
 
 
+def test_recall_of_passages_with_changed_words(spark):
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(200_000)]
+    items, share = [], {}
+    for at, (n, same) in enumerate([(52, 0.9), (60, 0.85), (80, 0.82)]):
+        for i in range(1000 * at, 1000 * at + 200, 2):
+            one = rng.choices(words, k=n)
+            other = list(one)
+            for place in rng.sample(range(1, n - 1), round(n * (1 - same))):
+                other[place] = rng.choice(words)
+            items += [(i + j, " ".join(rng.choices(words, k=50) + x + rng.choices(words, k=50)))
+                      for j, x in enumerate((one, other))]
+    got = {(min(r.doc_a, r.doc_b), max(r.doc_a, r.doc_b)) for r in substrings.shared(make(spark, items)).collect()}
+    assert all(a % 2 == 0 and b == a + 1 for a, b in got)
+    for at in range(3):
+        share[at] = sum(a // 1000 == at for a, _ in got)
+    print(share)
+    assert share[0] >= 60 and share[1] >= 85 and share[2] >= 95
+
+
 def plain_chain(a, b, n, cost):
     order = sorted(range(len(a)), key=lambda j: b[j])
     best = {}
