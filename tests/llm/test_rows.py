@@ -371,6 +371,30 @@ def test_spans_keep_the_base_and_add_what_trees_choose(make):
     assert clean[0] == "call me: phone [PHONE] soon"
 
 
+def test_other_forms_of_personal_data_come_back(make):
+    rng = random.Random(9)
+    def name():
+        return "".join(rng.choices("abcdefgh", k=6)) + f".{rng.randint(10, 99)}"
+    def digits(n):
+        return "".join(rng.choices("123456789", k=n))
+    items = []
+    for i in range(600):
+        text = (f"please write to {name()}@mail{i % 9}.example.com soon" if i % 2 else
+                f"you may call +49 {digits(3)} {digits(3)} {digits(3)} soon")
+        items.append((i, text + ". We met at noon. Then it rained", "en", "s", 1))
+    wanted = {1000: ("email", "kate.51 at mail3 dot example dot com"), 1001: ("email", "hugo.17[at]mail2[dot]example[dot]com"),
+              1002: ("phone", "0049 301 234 567"), 1003: ("phone", "0049.301.234.567")}
+    items += [(k, f"you reach me under {m} soon", "en", "s", 1) for k, (_, m) in wanted.items()]
+    unwanted = ["we met at noon. Then it rained", "version 312.458.299.301 is out", "of 2024-05-17 10-30 it says"]
+    items += [(2000 + i, t, "en", "s", 1) for i, t in enumerate(unwanted)]
+    got = {r.doc_id: r for r in personal.found(make(items)).collect()}
+    for k, (kind, m) in wanted.items():
+        s = got[k].text.index(m)
+        assert [tuple(x) for x in got[k].base] == [] and [tuple(x) for x in got[k].spans] == [
+            (s, personal.KINDS.index(kind), s + len(m))], (m, got[k].spans)
+    assert all(got[2000 + i].spans == [] for i in range(len(unwanted))), [got[2000 + i].spans for i in range(3)]
+
+
 def test_trees_read_in_a_column_agree_with_the_library(make, spark):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
