@@ -293,6 +293,11 @@ def test_quality_ratio_tells_trusted_from_junk(make, spark):
     assert all(r.kept == bool(r.doc_id % 4) for r in got)
 
 
+def test_quality_threshold_is_set_from_both_sides():
+    assert quality.cut_between([(0.1 * i, 10, 0) for i in range(10, 20)] + [(0.1 * i, 0, 5) for i in range(5)]) == pytest.approx(0.7)
+    assert quality.cut_between([(0.5, 0, 9)]) is None and quality.cut_between([(0.5, 100, 0), (0.9, 1, 0)]) == 0.5
+
+
 def test_quality_weights_are_smoothed_ratios(make, spark):
     import math
     items = [(1, "a b a", "en", "s", 1), (2, "b c", "en", "s", 1), (3, None, "en", "s", 1)]
