@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (line_dedup, mixing, near_dup, neighbours, packing, personal, quality, substrings,
+from . import (divergence, line_dedup, mixing, near_dup, neighbours, packing, personal, quality, substrings,
                token_counts, toxicity)
 from .common import documents, read, stored, text_of, words
 
@@ -59,9 +59,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                           read(spark, sf_dir, "labels")).drop("text")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir).select("text", "lang", "source"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_nearest_neighbours, op3_toxicity, op4_shared_passages, op5_near_duplicates,
-    op6_token_counts, op7_best_fit_packing, op8_personal_data, op9_source_mixing, op10_quality)}
+    op6_token_counts, op7_best_fit_packing, op8_personal_data, op9_source_mixing, op10_quality,
+    op11_source_divergence)}
 
 ORACLES = {
     "op1_line_dedup": f"""
@@ -78,4 +83,29 @@ ORACLES = {
         SELECT d.doc_id, d.source, len(string_split(d.text, chr(10))) AS n_lines,
                len(string_split(d.text, chr(10))) - coalesce(n, 0) AS n_dropped, coalesce(kept.text, '') AS text
         FROM documents d LEFT JOIN kept USING (doc_id)""",
+    "op11_source_divergence": rf"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents),
+        w AS (SELECT lang, source, r, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.LEAST}),
+        langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang),
+        held AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+        cells AS (SELECT lang, source, term, total, coalesce(held.n, 0)::HUGEINT AS n
+                  FROM groups JOIN kept USING (lang) LEFT JOIN held USING (lang, source, term)),
+        p AS (SELECT lang, source, term, c.n,
+                     1 + 1000000000::HUGEINT * (c.n + 5) // (sum(c.n) OVER (PARTITION BY lang, source)::HUGEINT + 5 * v) AS p,
+                     1 + 1000000000::HUGEINT * (total + 5) // (l.n + 5 * v) AS q
+              FROM cells c JOIN langs l USING (lang)),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+                  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.LISTED}""",
 }
