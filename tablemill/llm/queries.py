@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (divergence, line_dedup, mixing, near_dup, neighbours, packing, personal, quality, substrings,
-               token_counts, toxicity)
+               token_counts, toxicity, windows)
 from .common import documents, read, stored, text_of, words
 
 
@@ -63,10 +63,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir).select("text", "lang", "source"))
 
 
+def op12_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack_in_order(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_nearest_neighbours, op3_toxicity, op4_shared_passages, op5_near_duplicates,
     op6_token_counts, op7_best_fit_packing, op8_personal_data, op9_source_mixing, op10_quality,
-    op11_source_divergence)}
+    op11_source_divergence, op12_ordered_packing)}
 
 ORACLES = {
     "op1_line_dedup": f"""
