@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (divergence, line_dedup, mixing, near_dup, neighbours, packing, personal, quality, substrings,
-               token_counts, toxicity, windows)
+from . import (divergence, line_dedup, mixing, near_dup, neighbours, packing, personal, prefix_trie, quality,
+               substrings, token_counts, toxicity, windows)
 from .common import documents, read, stored, text_of, words
 
 
@@ -67,10 +67,14 @@ def op12_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.pack_in_order(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_nearest_neighbours, op3_toxicity, op4_shared_passages, op5_near_duplicates,
     op6_token_counts, op7_best_fit_packing, op8_personal_data, op9_source_mixing, op10_quality,
-    op11_source_divergence, op12_ordered_packing)}
+    op11_source_divergence, op12_ordered_packing, op13_prefix_trie)}
 
 ORACLES = {
     "op1_line_dedup": f"""
@@ -112,4 +116,37 @@ ORACLES = {
             UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
         SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.LISTED}""",
+    "op13_prefix_trie": """
+        WITH RECURSIVE own AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM (
+                SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+                FROM conversations WHERE conv_id IS NOT NULL)),
+        ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM own),
+        crc AS (
+            SELECT conv_id, s, 0 AS k, 4294967295::BIGINT AS v FROM ids
+            UNION ALL
+            SELECT conv_id, s, k + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END FROM (
+                SELECT conv_id, s, k, CASE WHEN k % 8 = 0 THEN xor(v, ascii(substr(s, k // 8 + 1, 1))::BIGINT) ELSE v END AS x
+                FROM crc WHERE k < 8 * length(s))),
+        heads AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(v, 4294967295::BIGINT) % 9 AS h
+                  FROM crc WHERE k = 8 * length(s)),
+        made AS (
+            SELECT heads.conv_id, 0 AS part, place, role, text FROM heads JOIN own ON own.conv_id = base AND place <= h
+            UNION ALL SELECT conv_id, 1, place, role, text FROM heads JOIN own USING (conv_id) WHERE place > h),
+        paths AS (
+            SELECT conv_id, coalesce(list(strlen(role) || ':' || role || text ORDER BY part, place) FILTER (part IS NOT NULL), []) AS path,
+                   coalesce(list(strlen(text) ORDER BY part, place) FILTER (part IS NOT NULL), []) AS sizes
+            FROM heads LEFT JOIN made USING (conv_id) GROUP BY conv_id),
+        prefixes AS (SELECT conv_id, path, sizes, unnest(range(0, len(path) + 1)) AS depth FROM paths),
+        nodes AS (
+            SELECT path[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   (count(*) - 1) * coalesce(max(sizes[depth]), 0) AS saved,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = depth), '')) AS ends_sha256
+            FROM prefixes GROUP BY 1, 2),
+        below AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN below USING (p)),
+        up AS (SELECT p[1:k] AS p, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (
+            SELECT p, saved, (n_children = 0)::INT AS leaf, unnest(range(0, depth + 1)) AS k FROM full_nodes) GROUP BY 1)
+        SELECT n.conv_id, n.depth, parent.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+        FROM full_nodes n JOIN up USING (p) LEFT JOIN nodes parent ON n.depth > 0 AND parent.p = n.p[1:n.depth - 1]""",
 }
