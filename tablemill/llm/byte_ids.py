@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +12,7 @@ import numpy as np
 from .vocabulary import byte_letters
 
 #: Characters that a worker remembers the ids of, and as many again for each entry; then it starts anew.
-REMEMBERED, ENTRY = 36_000_000, 60
+REMEMBERED, ENTRY = 100_000_000, 60
 
 #: Characters on whose class every version of Unicode agrees: printable ASCII, line feed and tab, letters of
 #: Latin, and marks of prose.
@@ -25,68 +26,46 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Words(dict):
-    """Ids of a word as the vocabulary's own pattern cuts it, with the blank before it."""
-
-    def __init__(self, library):
-        super().__init__()
-        self._model = library.model
-        self._letters = dict(enumerate(byte_letters()))
-        self.held = 0
-
-    def __missing__(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self._letters)
-        ids = self[word] = np.asarray([t.id for t in self._model.tokenize(shown)], dtype="<u4").tobytes()
-        self.held += len(word) + ENTRY
-        return ids
-
-
-class _Units(dict):
-    """Ids of what stands between two blanks, with the blank before it."""
-
-    def __init__(self, words: _Words, cut):
-        super().__init__()
-        self._of, self._cut, self.held = words.__getitem__, cut, 0
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = b"".join(map(self._of, self._cut(unit)))
-        if self.held < REMEMBERED:
-            self[unit] = ids
-            self.held += len(unit) + ENTRY
-        return ids
-
-
-class Encoder:
+class Encoder(dict):
     """Texts to ids as little-endian unsigned 32-bit numbers, as the library gives them.
 
-    The library cuts a text into words, each with the blank before it, and runs
-    its model on each alone, so a distinct word's ids are asked for once, and so
-    are those of what stands between two blanks. Where three blanks meet, or two
-    at the end, they may form one word, and the library's pattern is asked.
-    Parts with characters outside ``_PLAIN`` or with a special token go to the library whole.
+    No token and no rule of the vocabulary reaches over a blank that follows
+    something visible, so the ids of what stands between two blanks, with the
+    blank before it, are asked for once and remembered. They come from the
+    ranked form of the same vocabulary, which is several times faster on short
+    texts. Where three blanks meet, or two at the end, they may form one token,
+    and the whole text is asked for. Parts with characters outside ``_PLAIN`` or
+    with a special token go to the library.
     """
 
     def __init__(self, path: str):
         import public_tokenizers
-        import regex
+        import tiktoken
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        super().__init__()
         self._library = Tokenizer.from_file(path)
-        self._cut = regex.compile(public_tokenizers.PATTERN).findall
-        self._forget()
-        self._set_marks()
+        letters = {c: b for b, c in enumerate(byte_letters())}
+        tokens = {bytes(letters[c] for c in token): i
+                  for token, i in self._library.get_vocab(with_added_tokens=False).items()
+                  if i not in self._library.get_added_tokens_decoder()}
+        self._ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens,
+                                         special_tokens={}).encode_ordinary
+        self._held = 0
+        self._set_marks(tokens)
 
-    def _forget(self) -> None:
-        self._words = _Words(self._library)
-        self._units = _Units(self._words, self._cut)
+    def __missing__(self, unit: str) -> bytes:
+        ids = self[unit] = self._plain(unit)
+        self._held += len(unit) + ENTRY
+        return ids
 
-    def _set_marks(self) -> None:
+    def _plain(self, text: str) -> bytes:
+        return array("I", self._ranked(text)).tobytes()
+
+    def _set_marks(self, tokens: dict[bytes, int]) -> None:
         """For each id: it ends in a mark that ends a sentence; it begins with a blank, with a line feed; it ends in one."""
-        letters = {c: b for b, c in enumerate(byte_letters())}
-        n = self._library.get_vocab_size()
-        self.closes, self.blank, self.line, self.after_line = np.zeros((4, n), bool)
-        for token, i in self._library.get_vocab(with_added_tokens=False).items():
-            value = bytes(letters[c] for c in token)
+        self.closes, self.blank, self.line, self.after_line = np.zeros((4, self._library.get_vocab_size()), bool)
+        for value, i in tokens.items():
             self.closes[i] = value.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?")
             self.blank[i] = value[:1] in (b" ", b"\n", b"\t")
             self.line[i], self.after_line[i] = value[:1] == b"\n", value[-1:] == b"\n"
@@ -97,13 +76,14 @@ class Encoder:
             return np.asarray(got, dtype="<u4").tobytes()
         level = text.replace("\n", " ")
         if "\t" in text or "   " in level or level[-2:] == "  ":
-            return b"".join(map(self._words.__getitem__, self._cut(text)))
+            return self._plain(text)
         units = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
-        return b"".join(map(self._units.__getitem__, units))
+        return b"".join(map(self.__getitem__, units))
 
     def __call__(self, text: str) -> bytes:
-        if self._words.held > REMEMBERED:
-            self._forget()
+        if self._held > REMEMBERED:
+            self.clear()
+            self._held = 0
         if "<|" in text or not _PLAIN.fullmatch(text):
             return b"".join(map(self._part, _APART.split(text)))
         return self._part(text)

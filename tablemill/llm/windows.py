@@ -41,13 +41,22 @@ def best_cuts(places: list[int], costs: list[int], room: int, each: int) -> tupl
     length is a power of two, ``costs`` of its end, and ``each``. For a fixed
     end the first part only depends on cost[i] + places[i] of the beginning,
     whose least value over the last ``room`` tokens stands first in a queue
-    that is kept rising; powers of two are looked up. Longer windows win ties.
+    that is kept rising; beginnings a power of two away are found beforehand. Longer windows win ties.
     """
-    n = len(places)
+    n, at = len(places), np.asarray(places)
+    index = np.full(at[-1] + 1, -1)
+    index[at] = np.arange(n)
+    ends, begins = [], []
+    for power in (1 << k for k in range(room.bit_length() - 1, -1, -1)):
+        j = np.flatnonzero(at >= power)
+        i = index[at[j] - power]
+        ends.append(j[i >= 0])
+        begins.append(i[i >= 0])
+    order = np.argsort(np.concatenate(ends), kind="stable")
+    begin = np.concatenate(begins)[order].tolist()
+    first = np.searchsorted(np.concatenate(ends)[order], np.arange(n + 1)).tolist()
+
     cost, before, key = [0] * n, [0] * n, [0] * n
-    index = [-1] * (places[-1] + 1)
-    index[0] = 0
-    powers = [1 << k for k in range(room.bit_length() - 1, -1, -1) if 1 << k <= room]
     queue: deque[int] = deque([0])
     for j in range(1, n):
         here = places[j]
@@ -56,13 +65,11 @@ def best_cuts(places: list[int], costs: list[int], room: int, each: int) -> tupl
             queue.popleft()
         i = queue[0]
         least = key[i] + room - here
-        for power in powers:
-            if power <= here:
-                k = index[here - power]
-                if k >= 0 and cost[k] < least:
-                    i, least = k, cost[k]
+        for k in begin[first[j]:first[j + 1]]:
+            if cost[k] < least:
+                i, least = k, cost[k]
         least += costs[j] + each
-        cost[j], before[j], key[j], index[here] = least, i, least + here, j
+        cost[j], before[j], key[j] = least, i, least + here
         while queue and key[queue[-1]] > key[j]:
             queue.pop()
         queue.append(j)
@@ -72,11 +79,14 @@ def best_cuts(places: list[int], costs: list[int], room: int, each: int) -> tupl
 def offered(ends: np.ndarray, sentences: np.ndarray, price: Price) -> tuple[np.ndarray, np.ndarray]:
     """(places, costs) of possible cuts: ends of documents, of sentences, and more where these are far apart."""
     total = int(ends[-1])
-    places = np.unique(np.concatenate([[0], sentences, ends]))
-    gaps = np.diff(places)
-    far = np.flatnonzero(gaps > price.apart)
-    more = [np.arange(places[k] + price.apart, places[k + 1], price.apart) for k in far]
-    places = np.unique(np.concatenate([places, *more])) if more else places
+    cut = np.zeros(total + 1, bool)
+    cut[0] = cut[sentences] = cut[ends] = True
+    places = np.flatnonzero(cut)
+    more = (np.diff(places) - 1) // price.apart                # further cuts in each gap
+    gap = np.repeat(np.arange(len(more)), more)
+    step = np.arange(len(gap)) - np.repeat(np.cumsum(more) - more, more) + 1
+    cut[places[gap] + step * price.apart] = True
+    places = np.flatnonzero(cut)
     costs = np.full(total + 1, price.inside)
     costs[sentences] = price.sentence
     costs[ends] = 0
