@@ -136,10 +136,10 @@ def subtree_totals(nodes: DataFrame, places: DataFrame, sums: list[str], band: i
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (node, depth, conv_id) to one digest a node; ids are hashed as they come and never gathered."""
-    key, running = None, None
+    key, running, done = None, None, []
 
-    def row():
-        return pa.RecordBatch.from_pydict({"conv_id": [key[0]], "depth": [key[1]], "ends_sha256": [running.hexdigest()]})
+    def finished() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(dict(zip(("conv_id", "depth", "ends_sha256"), map(list, zip(*done)))))
     for batch in batches:
         nodes, depths, ids = (c.to_pylist() for c in batch.columns)
         at = 0
@@ -152,11 +152,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 running.update(b"," + text)
             else:
                 if key is not None:
-                    yield row()
+                    done.append((*key, running.hexdigest()))
                 key, running = (nodes[at], depths[at]), hashlib.sha256(text)
             at = end
+        if done:
+            yield finished()
+            done.clear()
     if key is not None:
-        yield row()
+        done.append((*key, running.hexdigest()))
+        yield finished()
 
 
 def ends(convs: DataFrame, places: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def test_digests_run_over_batches():
     for size in (1, 3, 100):
         batches = [pa.RecordBatch.from_pydict(dict(zip(("node", "depth", "conv_id"), map(list, zip(*rows[i:i + size])))))
                    for i in range(0, len(rows), size)]
-        got = {(b["conv_id"][0].as_py(), b["depth"][0].as_py()): b["ends_sha256"][0].as_py()
-               for b in prefix_trie._digests(iter(batches))}
+        got = {(r["conv_id"], r["depth"]): r["ends_sha256"]
+               for b in prefix_trie._digests(iter(batches)) for r in b.to_pylist()}
         assert got == {k: hashlib.sha256(",".join(str(r[2]) for r in rows if r[:2] == k).encode()).hexdigest()
                        for k in {r[:2] for r in rows}}
