@@ -159,6 +159,8 @@ PAGE_STYLE = {
     "data": "background:#2b2b2b;color:#fff",
     "result": "background:#ffef66;color:#000",
 }
+#: Signs that may not stand in an attribute, in the order of replacing.
+ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#x27;"}
 PAGE_GENUINE_STYLE = "outline:3px solid #2e7d32"
 PAGE_REJECTED_STYLE = "outline:2px dashed #d32f2f"
 PAGE_GENUINE_TITLE = "подлинная"

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import html
-import json
-import re
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed
 from ..sources.tables import TABLE_KEY
+from .forest import nested
 from .links import header_types, nearest, related, total_contents, total_links
+from .store import stored
 from .verdict import is_genuine
 
 
@@ -86,40 +84,21 @@ def cell_record() -> Column:
         path_texts("sidebar_path").alias("sidebar_path"), aggregates.alias("aggregates"))
 
 
-@F.arrow_udf(T.StringType())
-def _nested(nodes: pa.Array) -> pa.Array:
-    """Nodes (no, up, row, col, text) of one table -> nested JSON list, by position."""
-    def forest(found):
-        below = {}
-        for n in sorted(found, key=lambda n: (n["row"], n["col"])):
-            below.setdefault(n["up"], []).append(n)
-        todo, made = [(None, False)], {}
-        while todo:
-            no, ready = todo.pop()
-            if not ready:
-                todo.append((no, True))
-                todo.extend((n["no"], False) for n in below.get(no, ()))
-            else:
-                made[no] = "[" + ",".join(
-                    '{"text":%s,"cell":[%d,%d],"children":%s}' % (
-                        json.dumps(n["text"], ensure_ascii=False), n["row"], n["col"],
-                        made[n["no"]]) for n in below.get(no, ())) + "]"
-        return made[None]
-    return pa.array([forest(f or []) for f in nodes.to_pylist()], pa.string())
-
-
 def forests(pathed: DataFrame) -> DataFrame:
-    """Headers and attributes of each table as nested JSON. Spark has no recursive
-    type; the heads of a table, fewer than its cells, are nested by a small helper."""
-    up = F.when(F.col("role") == "title", nearest("header_path")).otherwise(
-        nearest("sidebar_path"))
-    node = F.struct(F.col("cell_no").alias("no"), up["no"].alias("up"), "row", "col", "text")
+    """Headers and attributes of each table as nested JSON, by position; tables with neither are left out.
+
+    Only headers and attributes are looked at, a small part of the cells; they
+    are written once and put together level by level.
+    """
+    up = F.when(F.col("role") == "title", nearest("header_path")).otherwise(nearest("sidebar_path"))
+    head = F.to_json(F.struct("text", F.array(F.col("row").cast("bigint"), "col").alias("cell")))
+    heads = stored(pathed.where(F.col("role").isin("title", "sidebar")).select(
+        *TABLE_KEY, "role", F.col("cell_no").alias("no"), up["no"].alias("up"), "row", "col", head.alias("json")), "heads")
 
-    def heads(role):
-        return F.collect_list(F.when(F.col("role") == role, node))
-    return (pathed.where(F.col("role").isin("title", "sidebar"))
-            .groupBy(*TABLE_KEY).agg(heads("title").alias("t"), heads("sidebar").alias("s"))
-            .select(*TABLE_KEY, _nested("t").alias("header"), _nested("s").alias("sidebar")))
+    def of(role):
+        return F.coalesce(F.max(F.when(F.col("role") == role, F.col("forest"))), F.lit("[]"))
+    return (nested(heads, [*TABLE_KEY, "role"], ["row", "col"]).groupBy(*TABLE_KEY)
+            .agg(of("title").alias("header"), of("sidebar").alias("sidebar")))
 
 
 def export_documents(pathed: DataFrame, sources: DataFrame,
@@ -195,27 +174,49 @@ def sheet_layout(role_cells: DataFrame, coloured: bool = True) -> DataFrame:
         font.alias("font"), F.lit("thin").alias("border"))
 
 
-@F.arrow_udf(T.StringType())
-def _painted(pages: pa.Array, edits: pa.Array) -> pa.Array:
-    """Pages with the style and title of some start tags replaced."""
-    def value_set(tag, name, value):
-        attr = re.compile(rf"""(\s{name})(\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/>])""", re.I)
-        new = f'{name}="{html.escape(value)}"'
-        if attr.search(tag):
-            return attr.sub(lambda m: m.group(0)[0] + new, tag, count=1)
-        return re.sub(r"\s*(/?>)$", lambda m: " " + new + m.group(1), tag)
-
-    def paint(page, found):
-        out, done = [], 0
-        for e in sorted(found or [], key=lambda e: e["at"]):
-            tag = page[e["at"]:e["at"] + e["at_len"]]
-            if e["title"] is not None:
-                tag = value_set(tag, "title", e["title"])
-            out += [page[done:e["at"]], value_set(tag, "style", e["style"])]
-            done = e["at"] + e["at_len"]
-        return "".join(out) + page[done:]
-    return pa.array([paint(p, e) for p, e in zip(pages.to_pylist(), edits.to_pylist())],
-                    pa.string())
+def _escaped(value: Column) -> Column:
+    """A text as it may stand between double quotes."""
+    for sign, name in fixed.ESCAPES.items():
+        value = F.replace(value, F.lit(sign), F.lit(name))
+    return value
+
+
+def _with_attribute(tag: Column, name: str, value: Column) -> Column:
+    """A start tag with an attribute set: in place of the first of that name, else at its end."""
+    written = rf"(?isU)^(.*?\s){name}(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>])"
+    new = F.concat(F.lit(f'{name}="'), _escaped(value), F.lit('"'))
+    found = F.regexp_extract(tag, written, 0)
+    return (F.when(found != "", F.concat(F.regexp_extract(tag, written, 1), new,
+                                         tag.substr(F.length(found) + 1, F.length(tag))))
+            .when(tag.endswith(">"), F.concat(F.regexp_replace(tag, r"(?U)\s*/?>\z", ""), F.lit(" "), new,
+                                              F.regexp_extract(tag, r"/?>\z", 0)))
+            .otherwise(tag))
+
+
+def spliced(text: Column, edits: Column, changed: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with some stretches of it put through ``changed(stretch, edit)``.
+
+    ``edits`` are structs that begin with at and at_len, in bytes of UTF-8, and do not
+    overlap. The bytes between two edits are taken once each, so the work is
+    that of copying the text, however many edits there are.
+    """
+    raw, order = text.cast("binary"), F.array_sort(edits)
+
+    def part(begin, size):
+        return raw.substr(begin + 1, size).cast("string")
+
+    def piece(e, i):
+        done = F.when(i == 0, 0).otherwise(order[i - 1]["at"] + order[i - 1]["at_len"])
+        return F.concat(part(done, e["at"] - done), changed(part(e["at"], e["at_len"]), e))
+    end = F.element_at(order, -1)["at"] + F.element_at(order, -1)["at_len"]
+    return F.concat(F.array_join(F.transform(order, piece), ""), part(end, F.octet_length(text)))
+
+
+def _painted(tag: Column, edit: Column) -> Column:
+    """A start tag with its title, if the edit has one, and its style."""
+    titled = F.when(edit["title"].isNull(), tag).otherwise(
+        _with_attribute(tag, "title", F.coalesce(edit["title"], F.lit(""))))
+    return _with_attribute(titled, "style", edit["style"])
 
 
 def annotate_pages(pages: DataFrame, judged: DataFrame, accepted: Column | None = None) -> DataFrame:
@@ -258,8 +259,7 @@ def annotate_pages(pages: DataFrame, judged: DataFrame, accepted: Column | None
         F.collect_list("edit").alias("edits"), F.sum("n").alias("tables"),
         F.sum("g").alias("genuine"))
     out = pages.join(per_page, "page_id", "left").na.fill(0, ["tables", "genuine"])
-    touched = F.when(F.col("edits").isNotNull(), _painted(
-        F.when(F.col("edits").isNotNull(), F.col("html")).otherwise(""), F.col("edits")))
+    touched = F.when(F.col("edits").isNotNull(), spliced(F.col("html"), F.col("edits"), _painted))
     return out.select("page_id", "url", F.coalesce(touched, F.col("html")).alias("html"),
                       "tables", "genuine")
 

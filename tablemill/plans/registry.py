@@ -18,7 +18,7 @@ from ..sources import rendered, tables
 from ..sources.tables import TABLE_KEY
 from ..streaming import score as streaming
 from . import expected as ex
-from . import runs
+from . import runs, shown
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -904,13 +904,12 @@ def _(spark, sf):
         "page_id", "row", "col", F.to_json(export.cell_record()).alias("record"))
 
 
-@query("header_forests", ex.with_(CUS, body="""SELECT page_id,
-'[{"text":"Region","cell":[0,0],"children":[]},{"text":"Owner","cell":[0,1],"children":[]},{"text":"Account","cell":[0,2],"children":[{"text":"Balance","cell":[1,2],"children":[]},{"text":"Segment","cell":[1,3],"children":[]}]}]' AS header,
-'[{"text":"' || any_value(text) FILTER (row = 2 AND col = 0) || '","cell":[2,0],"children":[{"text":"' || any_value(text) FILTER (row = 2 AND col = 1)
-|| '","cell":[2,1],"children":[]},{"text":"' || any_value(text) FILTER (row = 3 AND col = 1) || '","cell":[3,1],"children":[]}]}]' AS sidebar
-FROM cus_c GROUP BY page_id"""))
+@query("header_forests", ex.with_(DOC, ORD, CUS, shown.SUP, shown.FORESTS, body="SELECT page_id, header, sidebar FROM forests"))
 def _(spark, sf):
-    return export.forests(pathed_of(spark, sf, "customer")).select("page_id", "header", "sidebar")
+    """Pages of up to three levels of headers and of attributes."""
+    pages = pages_of(spark, sf, *GRID_KINDS).unionByName(rendered.supplier_pages(spark, sf))
+    return export.forests(stored(links.paths(verdict.roles(verdict.judge(pages))), "pathed")).select(
+        "page_id", "header", "sidebar")
 
 
 @query("page_sources", "SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) AS title FROM pages")
@@ -938,6 +937,14 @@ def _(spark, sf):
     return back.select(order.alias("page_id"), F.col("value").alias("document"))
 
 
+@query("export_documents", ex.with_(DOC, ORD, CUS, shown.SUP, shown.FORESTS, shown.CELLS, body=shown.documents(_RECORD)))
+def _(spark, sf):
+    """Documents with spans, nested headers and attributes, totals and what they sum."""
+    pages = pages_of(spark, sf, *GRID_KINDS).unionByName(rendered.supplier_pages(spark, sf))
+    found = stored(links.paths(verdict.roles(verdict.judge(pages))), "pathed")
+    return export.export_documents(found, export.page_sources(pages)).select("page_id", "document")
+
+
 _FILL = " ".join(f"WHEN '{r}' THEN '{c}'" for r, c in fixed.SHEET_FILL.items() if r)
 
 
@@ -977,6 +984,14 @@ def _(spark, sf):
         "page_id", "tables", "genuine", "html")
 
 
+@query("annotate_all_pages", ex.with_(DOC, ORD, CUS, EV, body=shown.PAINTED))
+def _(spark, sf):
+    """Every kind of page, with accepted, rejected, nested and unreadable tables, and pages without any."""
+    pages = pages_of(spark, sf)
+    return export.annotate_pages(pages, stored(verdict.judge(pages), "judged")).select(
+        "page_id", "tables", "genuine", "html")
+
+
 @query("annotate_counts", ex.with_(EV, body="""SELECT event_id * 4 + 3 AS page_id, count(s.v) AS tables,
 count(*) FILTER (s.verdict = 'genuine') AS genuine FROM events LEFT JOIN shapes s ON s.v = event_id % 24 GROUP BY event_id"""))
 def _(spark, sf):

@@ -236,10 +236,26 @@ def _place(rows):
     return overlaps
 
 
+def _in_bytes(html, places):
+    """Places of start tags, which rise, in bytes of UTF-8 instead of characters."""
+    if html.isascii():
+        return places
+    out, before, done = [], 0, 0
+    for place in places:
+        if place:
+            at, length = place
+            done, before = done + len(html[before:at].encode()), at
+            place = done, len(html[at:at + length].encode())
+        out.append(place)
+    return out
+
+
 def page_tables(html: str) -> list[dict]:
-    """Every table of a page in document order, nested ones too."""
+    """Every table of a page in document order, nested ones too; ``at`` and ``at_len`` are where its or a
+    cell's start tag stands, in bytes."""
     try:
         soup = _read(html)
+        soup.where = _in_bytes(html, soup.where)
     except Exception as err:                               # one bad page must not fail a job
         return [{"table_idx": 0, "status": "bad_page", "problem": f"{type(err).__name__}: {err}",
                  "at": 0, "at_len": 0, "style": None, "overlaps": False, "rows": []}]

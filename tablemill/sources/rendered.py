@@ -28,7 +28,7 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def _pages(rows: DataFrame, kind: str, key: str, body: Column) -> DataFrame:
-    page_id = F.col(key) * len(KINDS) + KINDS.index(kind)
+    page_id = F.col(key) * len(KINDS) + (KINDS.index(kind) if kind in KINDS else 0)
     return rows.select(
         page_id.alias("page_id"),
         F.concat(F.lit(f"https://example.org/{kind}/"), F.col(key).cast("string")).alias("url"),
@@ -201,6 +201,31 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spread(load(spark, sf_dir, "events")), "event", "event_id", body)
 
 
+def supplier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per supplier a table with three levels of headers and of row attributes; not part of ``corpus``.
+
+    Its page numbers are negative, so they meet none of the other kinds.
+    """
+    rows = (spread(load(spark, sf_dir, "supplier"))
+            .join(load(spark, sf_dir, "nation"), F.expr("s_nationkey = n_nationkey"))
+            .join(load(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey")))
+    sums = [money(F.col("s_acctbal") * k) for k in (1, 2, 3, 4)]
+
+    def firm(name):
+        return F.concat(F.col("s_name"), F.lit(name))
+    body = _table(
+        F.lit("<tr><th rowspan=3>Region</th><th rowspan=3>Nation</th><th rowspan=3>Firm</th><th colspan=4>Account</th></tr>"),
+        F.lit("<tr><th colspan=2>Balance</th><th colspan=2>Limit</th></tr>"),
+        _row("Now", "Then", "Now", "Then", tag="th"),
+        F.concat(F.lit("<tr>"), _cell("rowspan=4", F.col("r_name")), _cell("rowspan=2", F.col("n_name")), F.lit("<td>"),
+                 F.col("s_name"), F.lit("</td>"), *[F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in sums], F.lit("</tr>")),
+        _row(firm(" office"), *sums),
+        F.concat(F.lit("<tr>"), _cell("rowspan=2", F.concat("n_name", F.lit(" abroad"))), F.lit("<td>"), firm(" depot"),
+                 F.lit("</td>"), *[F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in sums], F.lit("</tr>")),
+        _row(firm(" store"), *sums))
+    return _pages(rows.withColumn("number", -1 - F.col("s_suppkey")), "supplier", "number", body)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rendered pages; ``page_id`` is unique across the kinds."""
     parts = [document_pages, order_pages, customer_pages, event_pages]
