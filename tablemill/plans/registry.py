@@ -122,6 +122,19 @@ def _(spark, sf):
     return records_of(spark, sf).select("key", "name", "verification")
 
 
+@query("read_labelled_map", ex.with_(LAB.split("lab_v AS")[0].rstrip().rstrip(","), body="""
+SELECT key, name, verification FROM lab WHERE verification <> 'None'"""))
+def _(spark, sf):
+    """All records as one pretty-printed map in one file, read by as many tasks as it has blocks."""
+    lines = spark.read.text(labelled_folder(spark, sf)).select(F.expr("substr(value, 2, length(value) - 2)").alias("entry"))
+    path = work_folder(spark, "labelled-map")
+    # the file is one by definition; everything behind it reads it in blocks
+    first = F.monotonically_increasing_id() == 0
+    body = lines.coalesce(1).select(F.concat(F.when(first, "{\n ").otherwise(", "), "entry").alias("value"))
+    body.unionByName(spark.createDataFrame([("}",)], "value string")).coalesce(1).write.text(path)
+    return tables.read_labelled(spark, path, split=True).select("key", "name", "verification")
+
+
 @query("extract_tables", ex.with_(DOC, EV, body="""
 SELECT page_id, 0 AS table_idx, 'ok' AS status, (2 + n + nb)::INT AS n_rows FROM doc_t
 UNION ALL SELECT o_orderkey * 4 + 1, 0, 'ok', 5 FROM orders

@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from .. import fixed
 from ..functions import cell_types
+from . import json_map
 
 TABLE_KEY = ["page_id", "table_idx"]
 
@@ -49,17 +50,19 @@ RECORDS = "map<string,struct<name:string,url:string,html_text:string,verificatio
 
 
 def read_labelled(spark: SparkSession, path: str, wholetext: bool = False,
-                  labelled_only: bool = True) -> DataFrame:
+                  labelled_only: bool = True, split: bool = False) -> DataFrame:
     """Records of ``{key: {name, url, html_text, verification}}`` documents.
 
     Each line is one such document, holding one record or many; ``wholetext``
-    reads a file as one document, for pretty-printed files. Records without
+    reads a file as one document, for pretty-printed files; ``split`` does so
+    by many tasks, for files that no row should hold. Records without
     markup are always skipped, unlabelled ones when ``labelled_only``.
     """
     record = F.col("record")
-    rows = (spark.read.text(path, wholetext=wholetext)
-            .select(F.input_file_name().alias("file"),
-                    F.explode(F.from_json("value", RECORDS)).alias("key", "record"))
+    source = (json_map.entries(spark, path).select("file", F.col("json").alias("value")) if split else
+              spark.read.text(path, wholetext=wholetext).select(F.input_file_name().alias("file"), "value"))
+    rows = (source
+            .select("file", F.explode(F.from_json("value", RECORDS)).alias("key", "record"))
             .select("file", "key", record["name"].alias("name"), record["url"].alias("url"),
                     record["html_text"].alias("html_text"),
                     F.coalesce(record["verification"], F.lit(fixed.UNLABELLED))
