@@ -96,10 +96,10 @@ def first_differences(diff: DataFrame, key: list[str], n: int = 25) -> DataFrame
     return diff.orderBy(*key).limit(n)
 
 
-def feature_vectors(feature_rows: DataFrame) -> DataFrame:
-    """Features as one text per table, rounded to 12 digits, to compare runs by."""
+def feature_vector() -> Column:
+    """Features as one text, rounded to 12 digits, to compare runs by."""
     values = [F.round(f, 12) for f in fixed.FEATURES] + [F.col("consistency").cast("double")]
-    return feature_rows.select(*TABLE_KEY, F.to_json(F.array(*values)).alias("vector"))
+    return F.to_json(F.array(*values))
 
 
 def tall(scores_: DataFrame, key: str = "stage") -> DataFrame:

@@ -18,7 +18,7 @@ from ..sources import rendered, tables
 from ..sources.tables import TABLE_KEY
 from ..streaming import score as streaming
 from . import expected as ex
-from . import runs, shown
+from . import runs, shown, snapshots
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -1104,27 +1104,97 @@ def _(spark, sf):
     return scored.groupBy("kind", "verdict", "prediction").count()
 
 
+def snapshot_of(spark, records, model, **options) -> dict[str, DataFrame]:
+    path = work_folder(spark, "snapshot")
+    snapshots.write_snapshot(records, model, path, **options)
+    return snapshots.read_snapshot(spark, path)
+
+
+def records_and_model(spark, sf):
+    records = stored(records_of(spark, sf, labelled_only=False), "records")
+    return records, runs.train(records.where("verification <> 'None'"), "Logistic Regression")
+
+
 @query("write_snapshot", ex.with_(EV, LAB, body=f"""SELECT 'rule' AS stage, tp, tn, fp, fn,
 round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
 round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM ({_CONFUSION})"""))
 def _(spark, sf):
     """The rule's scores as a snapshot keeps them."""
-    records = stored(records_of(spark, sf, labelled_only=False), "records")
-    model = runs.train(records.where("verification <> 'None'"), "Logistic Regression")
-    path = work_folder(spark, "snapshot")
-    runs.write_snapshot(records, model, path)
-    return runs.read_snapshot(spark, path)["metrics"].where("stage = 'rule'")
+    return snapshot_of(spark, *records_and_model(spark, sf))["metrics"].where("stage = 'rule'")
+
+
+_RECORD_KEY = F.regexp_extract("page_id", "#([^#]*)$", 1)
+_SHARES = "concat_ws(' ', " + ", ".join(f"round(1000000 * {f}::DOUBLE / n_cells)::BIGINT" for f in fixed.FEATURES) + \
+    ", CASE WHEN verdict = 'genuine' THEN 1 ELSE -1 END)"
+_HELD = "(SELECT * FROM ev WHERE table_idx = 0 AND event_id % 19 <> 0)"
+_GATED = "CASE WHEN {} THEN 'by the model' ELSE 'no genuine' END"
+
+
+@query("snapshot_parts", ex.with_(EV, LAB, body=f"""
+SELECT 'verdicts' AS part, key, verdict || ' ' || coalesce(message, '') AS value FROM lab_v
+UNION ALL SELECT 'features', event_id::VARCHAR, {_SHARES} FROM {_HELD} WHERE status = 'ok'
+UNION ALL SELECT 'failures', event_id::VARCHAR, message FROM {_HELD} WHERE status <> 'ok'
+UNION ALL SELECT 'predictions', event_id::VARCHAR, {_GATED.format("verdict = 'genuine'")} FROM {_HELD} WHERE status = 'ok'
+UNION ALL SELECT 'metrics', 'rule', concat_ws(' ', tp, tn, fp, fn) FROM ({_CONFUSION})
+UNION ALL SELECT 'metrics', 'rule and model', concat_ws(' ', count(*) FILTER (verification = 'genuine'), count(*))
+  FROM lab JOIN {_HELD} h ON h.event_id = lab.event_id WHERE verification <> 'None' AND status = 'ok'
+UNION ALL SELECT 'digest', 'records', count(*)::VARCHAR FROM lab
+UNION ALL SELECT 'tree', 'verdicts', count(*)::VARCHAR FROM lab_v
+UNION ALL SELECT 'tree', 'features', count(*)::VARCHAR FROM {_HELD} WHERE status = 'ok'
+UNION ALL SELECT 'tree', 'predictions', count(*)::VARCHAR FROM {_HELD} WHERE status = 'ok'
+UNION ALL SELECT 'tree', 'failures', count(*)::VARCHAR FROM {_HELD} WHERE status <> 'ok'"""))
+def _(spark, sf):
+    """All that a snapshot holds; SQL cannot state the model's own answers, so those are only named as such,
+    and of its scores the true and all cases are counted."""
+    held = snapshot_of(spark, *records_and_model(spark, sf))
+    shares = F.concat_ws(" ", *[F.round(F.col(f) * 1000000).cast("long").cast("string") for f in fixed.FEATURES],
+                         F.col("consistency").cast("string"))
+    counts = F.when(F.col("stage") == "rule", F.concat_ws(" ", "tp", "tn", "fp", "fn")).otherwise(
+        F.concat_ws(" ", F.col("tp") + F.col("fn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
+    gated = held["predictions"].join(held["features"].select(*TABLE_KEY, "consistency"), TABLE_KEY, "left").withColumn(
+        "value", F.when(F.col("consistency") == 1, "by the model").otherwise(F.col("prediction")))
+    shown_ = [("verdicts", held["verdicts"], _RECORD_KEY, F.concat("verdict", F.lit(" "), F.coalesce("message", F.lit("")))),
+              ("features", held["features"], _RECORD_KEY, shares), ("failures", held["failures"], _RECORD_KEY, F.col("failure")),
+              ("predictions", gated, _RECORD_KEY, F.col("value")), ("metrics", held["metrics"], F.col("stage"), counts),
+              ("digest", held["digest"], F.lit("records"), F.col("records").cast("string")),
+              ("tree", held["tree"].where("bucket = -1"), F.col("part"), F.col("n").cast("string"))]
+    out = None
+    for part, rows, key, value in shown_:
+        rows = rows.select(F.lit(part).alias("part"), key.alias("key"), value.alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("compare_snapshots", "SELECT '' AS part, '' AS key, '' AS was, '' AS now WHERE FALSE")
 def _(spark, sf):
     """A run compared with itself, taken twice from the start."""
-    records = stored(records_of(spark, sf, labelled_only=False), "records")
-    model = runs.train(records.where("verification <> 'None'"), "Logistic Regression")
-    paths = [work_folder(spark, "snapshot") for _ in range(2)]
-    for path in paths:
-        runs.write_snapshot(records, model, path)
-    return runs.compare_snapshots(*[runs.read_snapshot(spark, path) for path in paths])
+    records, model = records_and_model(spark, sf)
+    return snapshots.compare_snapshots(snapshot_of(spark, records, model), snapshot_of(spark, records, model))
+
+
+_GONE, _BARE = "event_id % 83 = 5", "event_id % 83 = 11"        # records left out, records that lose their table
+_LEFT = f"(SELECT * FROM {_HELD} WHERE {_GONE} OR {_BARE})"
+
+
+@query("changed_snapshots", ex.with_(EV, LAB, body=f"""
+SELECT 'verdicts' AS part, key, verdict AS was, CASE WHEN {_GONE} THEN '{fixed.MISSING_RECORD}' ELSE 'LayoutError' END AS now
+FROM lab_v WHERE {_GONE} OR {_BARE} AND verdict <> 'LayoutError'
+UNION ALL SELECT 'features', event_id::VARCHAR, '', '{fixed.MISSING_RECORD}' FROM {_LEFT} WHERE status = 'ok'
+UNION ALL SELECT 'failures', event_id::VARCHAR, message, '{fixed.MISSING_RECORD}' FROM {_LEFT} WHERE status <> 'ok'
+UNION ALL SELECT 'predictions', event_id::VARCHAR, {_GATED.format("verdict = 'genuine'")}, '{fixed.MISSING_PREDICTION}'
+FROM {_LEFT} WHERE status = 'ok'"""))
+def _(spark, sf):
+    """A run compared with one over fewer records, of which some lost their tables, in half as many buckets."""
+    records, model = records_and_model(spark, sf)
+    event = F.col("key").cast("long") % 83
+    fewer = records.where(event != 5).withColumn("html_text", F.when(event == 11, "<p>none</p>").otherwise(F.col("html_text")))
+    before = snapshot_of(spark, records, model, buckets=32)
+    diff = snapshots.compare_snapshots(before, snapshot_of(spark, fewer, model, buckets=16))
+    rule = before["features"].select(F.concat_ws("/", *TABLE_KEY).alias("key"), "consistency")
+    was = (F.when(F.col("part") == "features", "").when((F.col("part") == "predictions") & (F.col("consistency") == 1), "by the model")
+           .otherwise(F.col("was")))
+    return diff.where("part <> 'metrics'").join(rule, "key", "left").select(
+        "part", F.regexp_extract("key", "#([^#/]*)(?:/0)?$", 1).alias("key"), was.alias("was"), "now")
 
 
 @query("analyze", ex.with_(EV, body=f"""

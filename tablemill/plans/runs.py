@@ -1,12 +1,12 @@
-"""Whole runs: training, scoring, snapshots."""
+"""Whole runs: training and scoring."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..operators import audit, features, learn, verdict
+from ..operators import features, learn, verdict
 from ..operators.store import stored
 from ..sources.tables import TABLE_KEY, labelled_pages, record_id
 
@@ -38,53 +38,3 @@ def score(pages: DataFrame, model: learn.GatedModel) -> DataFrame:
         *key, "verdict", "message", "orientation", "status", *fixed.FEATURES,
         F.when(verdict.is_genuine(), 1).otherwise(-1).alias("consistency"))
     return model.predict_inline(flagged.na.fill(-1.0, fixed.FEATURES)).drop(*fixed.FEATURES)
-
-
-SNAPSHOT_PARTS = ["verdicts", "features", "failures", "predictions", "metrics", "digest"]
-
-
-def write_snapshot(records: DataFrame, model: learn.GatedModel, path: str) -> None:
-    """Freeze a run as Parquet: verdicts, features, failures, predictions, scores, and one
-    row with the number of records and the digest of all features.
-
-    Records without a label have features and predictions, but no verdict and no
-    part in the scores.
-    """
-    judged = stored(verdict.judge(labelled_pages(records)).where("table_idx = 0"), "judged")
-    labels = records.select(record_id(records).alias("page_id"), "verification")
-    known = records.where(F.col("verification") != fixed.UNLABELLED)
-
-    def put(rows, part):
-        rows.write.mode("overwrite").parquet(f"{path}/{part}")
-        return rows.sparkSession.read.parquet(f"{path}/{part}")
-
-    verdicts = put(audit.record_verdicts(known, judged), "verdicts")
-    rows = put(features.features(judged), "features")
-    put(features.feature_failures(judged), "failures")
-    predictions = put(model.predict(rows).select(*TABLE_KEY, "prediction"), "predictions")
-    rule = audit.scores(audit.confusion(verdicts, "verdict")).withColumn("stage", F.lit("rule"))
-    both = audit.scores(audit.confusion(predictions.join(labels, "page_id"), "prediction")) \
-        .withColumn("stage", F.lit("rule and model"))
-    put(rule.unionByName(both), "metrics")
-    put(features.matrix_digest(rows).crossJoin(records.agg(F.count("*").alias("records"))), "digest")
-
-
-def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {part: spark.read.parquet(f"{path}/{part}") for part in SNAPSHOT_PARTS}
-
-
-def compare_snapshots(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    """Everything that changed between two runs: (part, key, was, now)."""
-    def part(name, key, value, missing, view=lambda df: df):
-        diff = audit.snapshot_diff(view(before[name]), view(after[name]), key, value, missing)
-        return diff.select(F.lit(name).alias("part"),
-                           F.concat_ws("/", *key).alias("key"), "was", "now")
-    def metrics(rows):
-        return audit.tall(rows).withColumn("value", F.round("value", 6))
-    out = (part("verdicts", ["page_id"], "verdict", fixed.MISSING_RECORD)
-           .unionByName(part("metrics", ["stage", "metric"], "value", fixed.MISSING_RECORD, metrics)))
-    if before["digest"].collect() == after["digest"].collect():      # one row each: same features
-        return out
-    return (out.unionByName(part("features", TABLE_KEY, "vector", fixed.MISSING_RECORD,
-                                 audit.feature_vectors))
-            .unionByName(part("predictions", TABLE_KEY, "prediction", fixed.MISSING_PREDICTION)))

@@ -9,7 +9,7 @@ from tablemill import fixed
 from tablemill.functions.ranking import exact_rank, stratified_folds
 from tablemill.operators import audit, export, features, learn, links, verdict
 from tablemill.operators.store import stored
-from tablemill.plans import runs
+from tablemill.plans import runs, snapshots
 from tablemill.session import work_folder
 from tablemill.sources import tables
 from tablemill.streaming import score as streaming
@@ -208,13 +208,13 @@ def test_labelled_keys_stay_as_they_are(spark):
 def test_snapshots_and_stream(spark, records):
     model = runs.train(records.where("verification <> 'None'"), "Logistic Regression")
     a, b = work_folder(spark, "a"), work_folder(spark, "b")
-    runs.write_snapshot(records, model, a)
+    snapshots.write_snapshot(records, model, a)
     changed = records.withColumn("html_text", F.when(F.col("key") == "2", "<table></table>")
                                  .otherwise(F.col("html_text"))).where("key <> '6'")
-    runs.write_snapshot(changed, model, b)
-    before, after = runs.read_snapshot(spark, a), runs.read_snapshot(spark, b)
-    assert runs.compare_snapshots(before, before).count() == 0
-    diff = {(r.part, r.key): (r.was, r.now) for r in runs.compare_snapshots(before, after).collect()}
+    snapshots.write_snapshot(changed, model, b)
+    before, after = snapshots.read_snapshot(spark, a), snapshots.read_snapshot(spark, b)
+    assert snapshots.compare_snapshots(before, before).count() == 0
+    diff = {(r.part, r.key): (r.was, r.now) for r in snapshots.compare_snapshots(before, after).collect()}
     assert diff["verdicts", "2"] == ("genuine", "LayoutError")
     assert diff["verdicts", "6"] == ("genuine", fixed.MISSING_RECORD)
     assert diff["predictions", "6/0"] == ("genuine", fixed.MISSING_PREDICTION)
