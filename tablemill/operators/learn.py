@@ -6,8 +6,7 @@ import math
 import random
 
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,13 +14,12 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.ranking import exact_rank, stratified_folds
 from ..sources.tables import TABLE_KEY
+from . import boosting
 from .store import stored
 
 SEED = 42
 # ---------------------------------------------------------------- fixed values: model settings
 FOREST = dict(numTrees=200, maxDepth=15, minInstancesPerNode=2, featureSubsetStrategy="sqrt")
-BOOSTING = dict(maxIter=200, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
-                featureSubsetStrategy="0.8")
 MODELS = {
     "Random Forest": "forest", "XGBoost": "boosting", "LightGBM": "boosting",
     "CatBoost": "boosting", "SVM (RBF)": "rbf", "Logistic Regression": "logistic",
@@ -29,8 +27,6 @@ MODELS = {
 BALANCED = {"Random Forest", "CatBoost", "SVM (RBF)", "Logistic Regression"}
 LOGISTIC_ITERATIONS = 1000
 FOURIER = 64           # random features of the RBF kernel
-# The JVM copes with very deep boosting lineages only if they are cut now and then.
-CHECKPOINT_EVERY = 10
 
 
 def encoder(rows: DataFrame, label: str = "verification"):
@@ -83,8 +79,9 @@ def _stages(name: str, rows: DataFrame, settings: dict) -> list:
     if kind == "forest":
         return [plain, RandomForestClassifier(**common, **{**FOREST, "seed": SEED, **settings})]
     if kind == "boosting":
-        return [plain, GBTClassifier(**common, **{
-            **BOOSTING, "seed": SEED, "checkpointInterval": CHECKPOINT_EVERY, **settings})]
+        made = boosting.fit(stored(rows.select(*TABLE_KEY, *fixed.FEATURES, "target", "weight"), "taught"), fixed.FEATURES,
+                            TABLE_KEY, boosting.PRESETS[name], SEED, settings.get("maxIter", boosting.ROUNDS))
+        return [SQLTransformer(statement=f"SELECT *, IF({made.margin()} > 0, 1D, 0D) AS prediction FROM __THIS__")]
     penalty = 1.0 / max(rows.count(), 1)                # C = 1 over a mean loss
     if kind == "logistic":
         return [plain, LogisticRegression(**common, **{
@@ -140,8 +137,6 @@ def fit(name: str, rows: DataFrame, **settings) -> GatedModel:
     """
     if name not in MODELS:
         raise ValueError(f"Неизвестная модель: {name}")
-    if MODELS[name] == "boosting":
-        _checkpoint_dir(rows.sparkSession)
     indexer = encoder(rows)
     labels = list(indexer.labels)
     taught = rows.where("consistency = 1")
@@ -150,15 +145,6 @@ def fit(name: str, rows: DataFrame, **settings) -> GatedModel:
     return GatedModel(Pipeline(stages=_stages(name, taught, settings)).fit(taught), labels)
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    """Boosting cuts its lineage with checkpoints in the folder the cluster names."""
-    from ..session import CHECKPOINT_DIR, work_folder
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get(CHECKPOINT_DIR)
-                                 or work_folder(spark, "checkpoint"))
-
-
 def fold_scores(predicted: DataFrame, by: list[str]) -> DataFrame:
     """Accuracy, weighted and macro F1 per group, from counts of (label, prediction)."""
     pairs = predicted.groupBy(*by, "verification", "prediction").agg(F.count("*").alias("n"))

@@ -1076,6 +1076,22 @@ def _(spark, sf):
                     F.count_if(F.col("prediction") != F.col("again")).alias("differing"))
 
 
+#: Trees of a boosted model in the queries; its preset has 200.
+FEW_TREES = 12
+
+
+def _boosted(name: str):
+    def predictions(spark, sf):
+        """Every labelled table with the answer of one kind of boosted trees."""
+        rows = learning_rows(spark, sf)
+        return answers(learn.fit(name, rows, maxIter=FEW_TREES), rows)
+    return predictions
+
+
+for _name, _model in (("boosting_by_level", "XGBoost"), ("boosting_by_leaf", "LightGBM"), ("boosting_symmetric", "CatBoost")):
+    query(_name)(_boosted(_model))
+
+
 @query("cross_validation")
 def _(spark, sf):
     return learn.cross_validate(learning_rows(spark, sf), ["Logistic Regression", "Random Forest"])
