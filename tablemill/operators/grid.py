@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import TABLE_KEY
@@ -53,18 +53,43 @@ def slots(covered: DataFrame) -> DataFrame:
                  .withColumnRenamed("_slot", "col"), "row", "col")
 
 
+def _disjoint(covered: DataFrame) -> DataFrame:
+    """Intervals of a line of which no two share a column; of overlapping cells the later one takes it.
+
+    In tables known to overlap, a line is cut wherever a cell begins or ends, and each stretch goes to the
+    last of its cells.
+    """
+    out = [*TABLE_KEY, "row", "col", "right", "cell"]
+    rows = covered.withColumn("cell", F.struct("src_row", "src_idx", "text"))
+    lapped = rows.where("overlaps")
+    borders = lapped.groupBy(*TABLE_KEY, "row").agg(F.array_union(
+        F.collect_set("col"), F.collect_set(F.col("right") + 1)).alias("_borders"))
+    settled = (lapped.join(borders, [*TABLE_KEY, "row"])
+               .withColumn("_at", F.explode(F.filter("_borders", lambda b: (b >= F.col("col")) & (b <= F.col("right")))))
+               .groupBy(*TABLE_KEY, "row", F.col("_at"))
+               .agg(F.max_by(F.struct("right", "cell"), F.struct("cell.src_row", "cell.src_idx")).alias("c"))
+               .select(*TABLE_KEY, "row", F.col("_at").alias("col"), "c.*"))
+    return rows.where("NOT overlaps").select(*out).unionByName(settled.select(*out))
+
+
 def cell_at(covered: DataFrame, asked: DataFrame) -> DataFrame:
     """The cell covering each asked-for slot; null where the row is shorter.
 
-    Slots meet the intervals of their own line, so no slot is written out.
+    A line's intervals and the slots asked for there are read in one stream from
+    left to right, with the interval that began last: it is the only one that
+    can reach a slot. No slot is written out and none meets the other intervals of its line.
     """
-    lines = covered.select(*[F.col(c).alias(f"_{c}") for c in (*TABLE_KEY, "row")], F.col("col").alias("_from"),
-                           "right", F.struct("src_row", "src_idx", "text").alias("_cell"))
-    on = [F.col(c) == F.col(f"_{c}") for c in (*TABLE_KEY, "row")]
-    on += [F.col("col") >= F.col("_from"), F.col("col") <= F.col("right")]
-    return (asked.join(lines, on, "left").groupBy(*asked.columns)
-            .agg(F.max_by("_cell", F.struct("_cell.src_row", "_cell.src_idx")).alias("_c"))
-            .select(*asked.columns, "_c.src_row", "_c.src_idx", "_c.text"))
+    place = [F.col("row").cast("long").alias("_row"), F.col("col").cast("long").alias("_col")]
+    begun = _disjoint(covered).select(*TABLE_KEY, *place, F.struct("right", "cell").alias("_begun"),
+                                      F.lit(None).alias("_asked"))
+    wanted = asked.select(*TABLE_KEY, *place, F.lit(None).alias("_begun"), F.struct(*asked.columns).alias("_asked"))
+    # at one place the interval comes first
+    across = (Window.partitionBy(*TABLE_KEY, "_row").orderBy("_col", F.col("_asked").isNotNull())
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = (begun.unionByName(wanted).withColumn("_met", F.last("_begun", ignorenulls=True).over(across))
+           .where(F.col("_asked").isNotNull()))
+    cell = F.when(F.col("_met.right") >= F.col("_col"), F.col("_met.cell"))
+    return met.select("_asked.*", cell.alias("_c")).select(*asked.columns, "_c.src_row", "_c.src_idx", "_c.text")
 
 
 def table_size(cells: DataFrame) -> DataFrame:
@@ -75,16 +100,24 @@ def table_size(cells: DataFrame) -> DataFrame:
 
 
 def _seen_from(targets: DataFrame, met: DataFrame, line: str, place: str) -> DataFrame:
-    """Cells met on a target's own line before its place; ``met`` has one row for each line and cell."""
-    t = targets.select(*TABLE_KEY, F.col(line).alias("_line"), F.col(place).alias("_end"),
-                       F.col("src_row").alias("t_row"), F.col("src_idx").alias("t_idx"))
-    seen = (met.join(t, [*TABLE_KEY, "_line"]).where(F.col("place") < F.col("_end"))
-            .groupBy(*TABLE_KEY, "t_row", "t_idx", "src_row", "src_idx")
-            .agg(F.min("place").alias("place"), F.first("text").alias("text")))
-    return (seen.groupBy(*TABLE_KEY, "t_row", "t_idx")
-            .agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("found"))
-            .select(*TABLE_KEY, F.col("t_row").alias("src_row"), F.col("t_idx").alias("src_idx"),
-                    F.transform("found", lambda x: x["text"]).alias("texts")))
+    """Cells met on a target's own line before its place; ``met`` has one row for each line and cell.
+
+    Cells and targets are read in one stream along the line, which counts the cells so far; a target then
+    takes so many from the front of its line's list. The lists are as long as the lines they come from.
+    """
+    cells = (met.groupBy(*TABLE_KEY, "_line", "src_row", "src_idx")
+             .agg(F.min("place").cast("long").alias("place"), F.first("text").alias("text")))
+    wanted = targets.select(*TABLE_KEY, F.col(line).alias("_line"), F.col(place).cast("long").alias("place"),
+                            F.struct("src_row", "src_idx").alias("_target"))
+    along = Window.partitionBy(*TABLE_KEY, "_line").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
+    stream = cells.select(*TABLE_KEY, "_line", "place", F.lit(None).alias("_target")).unionByName(wanted)
+    counted = (stream.withColumn("_n", F.count_if(F.col("_target").isNull()).over(along).cast("int"))
+               .where(F.col("_target").isNotNull() & (F.col("_n") > 0)))
+    lists = cells.groupBy(*TABLE_KEY, "_line").agg(
+        F.array_sort(F.collect_list(F.struct("place", "text"))).alias("found"))
+    return (counted.join(lists, [*TABLE_KEY, "_line"])
+            .select(*TABLE_KEY, "_target.src_row", "_target.src_idx",
+                    F.transform(F.slice("found", F.lit(1), F.col("_n")), lambda x: x["text"]).alias("texts")))
 
 
 def column_above(targets: DataFrame, covered: DataFrame) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-import random
-
+import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
@@ -26,7 +24,8 @@ MODELS = {
 }
 BALANCED = {"Random Forest", "CatBoost", "SVM (RBF)", "Logistic Regression"}
 LOGISTIC_ITERATIONS = 1000
-FOURIER = 64           # random features of the RBF kernel
+LANDMARKS = 64         # features of the RBF kernel
+SAMPLE = 2000          # rows that landmarks are chosen from
 
 
 def encoder(rows: DataFrame, label: str = "verification"):
@@ -57,19 +56,47 @@ def _weight(rows: DataFrame, all_rows: DataFrame, name: str, labels: list[str])
     return out
 
 
-def _fourier_stage(rows: DataFrame) -> SQLTransformer:
-    """RBF kernel as random Fourier features: cos(w.x + b), w drawn for
-    gamma = 1 / (number of features * variance over all values)."""
-    xs = F.array(*fixed.FEATURES)
-    spread = rows.select(F.explode(xs).alias("x")).agg(F.var_pop("x")).first()[0] or 1.0
-    gamma, rng = 1.0 / (len(fixed.FEATURES) * spread), random.Random(SEED)
-    terms = []
-    for i in range(FOURIER):
-        line = " + ".join(f"{rng.gauss(0, math.sqrt(2 * gamma))!r}D * `{f}`"
-                          for f in fixed.FEATURES)
-        terms.append(f"{math.sqrt(2 / FOURIER)!r}D * cos({line} + "
-                     f"{rng.uniform(0, 2 * math.pi)!r}D) AS rbf_{i}")
-    return SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM __THIS__")
+def farthest_points(points: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` of the points, each the farthest from those before it; fewer if there are not so many places."""
+    chosen = [0]
+    away = ((points - points[0]) ** 2).sum(axis=1)
+    while len(chosen) < n and away.max() > 1e-12:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen]
+
+
+def kernel_map(sample: np.ndarray, gamma: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(landmarks, root): k(x, landmarks) times ``root`` are features whose products are nearly the RBF kernel,
+    and the kernel itself between landmarks."""
+    marks = farthest_points(sample, n)
+    kernel = np.exp(-gamma * ((marks[:, None] - marks[None]) ** 2).sum(axis=2))
+    values, vectors = np.linalg.eigh(kernel)
+    held = values > 1e-10 * values.max()
+    return marks, (vectors[:, held] / np.sqrt(values[held])) @ vectors[:, held].T
+
+
+def _kernel_stage(rows: DataFrame) -> SQLTransformer:
+    """RBF kernel by landmarks, for gamma = 1 / (number of features * variance over all values).
+
+    Landmarks come from a sample of at most ``SAMPLE`` rows, drawn by a digest of
+    the key; only these rows reach the driver.
+    """
+    spread = rows.select(F.explode(F.array(*fixed.FEATURES)).alias("x")).agg(F.var_pop("x")).first()[0] or 1.0
+    gamma = 1.0 / (len(fixed.FEATURES) * spread)
+    drawn = rows.orderBy(F.xxhash64(*TABLE_KEY, F.lit(SEED))).limit(SAMPLE).select(*fixed.FEATURES).collect()
+    marks, root = kernel_map(np.asarray(drawn, float).reshape(-1, len(fixed.FEATURES)) if drawn
+                             else np.zeros((1, len(fixed.FEATURES))), gamma, LANDMARKS)
+
+    def listed(values) -> str:
+        return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
+    values = "array(" + ", ".join(f"CAST(`{f}` AS DOUBLE)" for f in fixed.FEATURES) + ")"
+    near = (f"transform(array({', '.join(map(listed, marks))}), m -> exp({-gamma!r}D * aggregate("
+            f"zip_with(m, {values}, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)))")
+    terms = [f"aggregate(zip_with(_near, {listed(line)}, (a, b) -> a * b), 0D, (s, x) -> s + x) AS rbf_{i}"
+             for i, line in enumerate(root)]
+    terms += [f"0D AS rbf_{i}" for i in range(len(root), LANDMARKS)]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(terms)} FROM (SELECT *, {near} AS _near FROM __THIS__)")
 
 
 def _stages(name: str, rows: DataFrame, settings: dict) -> list:
@@ -87,8 +114,8 @@ def _stages(name: str, rows: DataFrame, settings: dict) -> list:
         return [plain, LogisticRegression(**common, **{
             "maxIter": LOGISTIC_ITERATIONS, "regParam": penalty, "elasticNetParam": 0.0,
             "standardization": False, **settings})]
-    mapped = VectorAssembler(inputCols=[f"rbf_{i}" for i in range(FOURIER)], outputCol="features")
-    return [_fourier_stage(rows), mapped, LinearSVC(**common, **{
+    mapped = VectorAssembler(inputCols=[f"rbf_{i}" for i in range(LANDMARKS)], outputCol="features")
+    return [_kernel_stage(rows), mapped, LinearSVC(**common, **{
         "regParam": penalty, "standardization": False, "maxIter": 100, **settings})]
 
 
