@@ -102,8 +102,12 @@ def total_links(pathed: DataFrame) -> DataFrame:
     Pass a stored table: titles, totals and data are picked from it separately.
     """
     numbers_only = is_summable(F.col("detail")) | (F.col("detail") == "NO_DATA")
-    summable = (title_data(pathed).groupBy(*TABLE_KEY, "title_no")
-                .agg(F.bool_and(numbers_only).alias("summable")))
+    # data cells with the same titles are put together before these are listed: a row per column, not per cell
+    summable = (pathed.where(F.col("role") == "data")
+                .groupBy(*TABLE_KEY, F.transform("header_path", lambda t: t["no"]).alias("titles"))
+                .agg(F.bool_and(numbers_only).alias("summable"))
+                .select(*TABLE_KEY, F.explode("titles").alias("title_no"), "summable")
+                .groupBy(*TABLE_KEY, "title_no").agg(F.bool_and("summable").alias("summable")))
     cell = F.struct(F.col("cell_no").alias("no"), "row", "col", "text", "detail", "gt_id",
                     F.col("p_row").alias("line"))
     totals = total_signatures(pathed.withColumn("title_no", nearest("header_path")["no"]))
@@ -176,6 +180,17 @@ def previous_total(role_cells: DataFrame) -> DataFrame:
             .withColumn("previous", F.lag("line").over(before)))
 
 
+def related_cells(pathed: DataFrame, links: DataFrame) -> DataFrame:
+    """Each cell with ``related``, the (row, col) of the cells highlighted with it: its headers and attributes,
+    or, for a total, what it sums."""
+    def places(cells: Column) -> Column:
+        return F.transform(cells, lambda c: F.struct(c["row"].cast("long").alias("row"), c["col"].cast("long").alias("col")))
+    nothing = F.array().cast("array<struct<row:bigint,col:bigint>>")
+    return (pathed.join(total_contents(links), [*TABLE_KEY, "cell_no"], "left")
+            .withColumn("related", F.coalesce(F.when(F.col("role") == "result", places(F.col("summed")))
+                                              .otherwise(places(related())), nothing)).drop("summed"))
+
+
 def related() -> Column:
     """Cells highlighted with a cell, by role; totals take theirs from ``total_links``."""
     return (F.when(F.col("role") == "title", F.col("header_path"))

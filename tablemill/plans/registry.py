@@ -641,6 +641,21 @@ def _(spark, sf):
                 links.related(), lambda n: n["text"]), " > ").alias("related")))
 
 
+@query("related_cells_and_totals", ex.with_(DOC, ORD, body="""
+SELECT p.page_id, p.row, p.col, CASE WHEN role = 'title' THEN '' WHEN role = 'result' THEN coalesce(summed, '')
+  WHEN role = 'sidebar' AND col = 0 THEN '0:0' ELSE '0:' || col || ' ' || (1 + 6 * b) || ':0' ||
+  CASE WHEN col = 1 OR t.n % 5 = 1 THEN '' ELSE ' ' || row || ':1' END END AS related
+FROM doc_p p JOIN doc_t t USING (page_id) LEFT JOIN (SELECT page_id, total_row AS row, total_col AS col,
+  string_agg(data_row || ':' || total_col, ' ' ORDER BY data_row) AS summed FROM doc_links GROUP BY ALL) s USING (page_id, row, col)
+UNION ALL SELECT page_id, row, col, CASE WHEN col = 1 THEN row || ':0' ELSE '' END FROM ord_c"""))
+def _(spark, sf):
+    """Cells of every role, totals with what they sum."""
+    found = stored(pathed_of(spark, sf, "document", "order"), "pathed")
+    shown_ = F.transform("related", lambda c: F.concat_ws(":", c["row"].cast("string"), c["col"].cast("string")))
+    return links.related_cells(found, links.total_links(found)).select(
+        "page_id", "row", "col", F.array_join(shown_, " ").alias("related"))
+
+
 @query("last_type_above", ex.with_(DOC, body="""
 SELECT page_id, row, col, last_value(CASE WHEN detail <> 'NO_DATA' THEN detail END IGNORE NULLS) OVER (
 PARTITION BY page_id, col ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM doc_c"""))
