@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import random
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
@@ -25,6 +30,7 @@ MODELS = {
 BALANCED = {"Random Forest", "CatBoost", "SVM (RBF)", "Logistic Regression"}
 LOGISTIC_ITERATIONS = 1000
 LANDMARKS = 64         # features of the RBF kernel
+AT_ONCE = 4            # fits of a cross-validation
 SAMPLE = 2000          # rows that landmarks are chosen from
 
 
@@ -191,11 +197,22 @@ def fold_scores(predicted: DataFrame, by: list[str]) -> DataFrame:
         (F.sum("hit") / F.sum("support")).alias("accuracy"))
 
 
-def _fold_models(name: str, rows: DataFrame, folds: int, settings: dict):
-    """(fold, model fitted on the others, test rows) for every fold of stored rows."""
-    for fold in range(folds):
-        yield fold, fit(name, rows.where(F.col("fold") != fold), **settings), \
-            rows.where(F.col("fold") == fold)
+def _fold_models(rows: DataFrame, names: list[str], folds: int, settings: dict) -> dict[tuple[str, int], GatedModel]:
+    """(name, fold) -> model fitted on the other folds of stored rows; ``AT_ONCE`` are fitted at a time, each in
+    a scheduler pool of its own, so that the short jobs of one fill the cores that another leaves idle."""
+    context = rows.sparkSession.sparkContext
+
+    def fitted(name: str, fold: int) -> GatedModel:
+        context.setLocalProperty("spark.scheduler.pool", f"{name}, fold {fold}")
+        try:
+            return fit(name, rows.where(F.col("fold") != fold), **settings.get(name, {}))
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        # a task of the pool has its own copy of the caller's properties
+        target = inheritable_thread_target(rows.sparkSession)(fitted)
+        asked = {(name, fold): pool.submit(target, name, fold) for name in names for fold in range(folds)}
+        return {key: one.result() for key, one in asked.items()}
 
 
 def with_folds(rows: DataFrame, folds: int = 5, seed: int = SEED) -> DataFrame:
@@ -210,10 +227,9 @@ def cross_validate(rows: DataFrame, names: list[str] | None = None, folds: int =
     """Scores per model and fold; rows the rule rejected count in every test fold."""
     rows = with_folds(rows, folds)
     predicted = None
-    for name in names or list(MODELS):
-        for fold, model, test in _fold_models(name, rows, folds, (settings or {}).get(name, {})):
-            part = model.predict(test).withColumn("model", F.lit(name))
-            predicted = part if predicted is None else predicted.unionByName(part)
+    for (name, fold), model in _fold_models(rows, names or list(MODELS), folds, settings or {}).items():
+        part = model.predict(rows.where(F.col("fold") == fold)).withColumn("model", F.lit(name))
+        predicted = part if predicted is None else predicted.unionByName(part)
     return fold_scores(predicted, ["model", "fold"])
 
 
@@ -230,39 +246,59 @@ def ranked(summaries: DataFrame) -> DataFrame:
         Window.orderBy(F.desc("f1_weighted"))))
 
 
+def moves(sizes: dict[int, int], repeats: int, seed: int = SEED) -> list[tuple]:
+    """(fold, feature, repeat, a, b, n): for each fold, feature and repeat a bijection x -> (a x + b) mod n of 0..n - 1."""
+    out = []
+    for fold, n in sorted(sizes.items()):
+        for k in range(len(fixed.FEATURES)):
+            for repeat in range(1, repeats + 1):
+                rng = random.Random(f"{seed}/{fold}/{k}/{repeat}")
+                a = next(x for x in iter(lambda: rng.randint(1, n), None) if math.gcd(x, n) == 1)
+                out.append((fold, k, repeat, a, rng.randrange(n), n))
+    return out
+
+
 def permuted(rows: DataFrame, repeats: int, seed: int = SEED) -> DataFrame:
-    """Copies of the rows, one per feature and repeat, with that feature's values moved
-    to other rows of the same copy: rows and donors meet by rank in a seeded order."""
+    """Each of the stored ``rows`` (with a ``fold``) once per feature and repeat, with that feature's value moved in
+    from another row of its fold.
+
+    Rows have ranks in the order of a digest of their key. A bijection of these ranks, drawn for each fold, feature and
+    repeat, says which row a value moves to, so only values are shuffled, to the rank that takes them; whole rows
+    are multiplied where they are scored. Up to three billion rows a fold.
+    """
     key = F.concat_ws("/", *[F.col(c).cast("string") for c in TABLE_KEY])
-    copies = (rows.withColumn("feature", F.explode(F.array(*map(F.lit, fixed.FEATURES))))
-              .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))))
-    copy = ["feature", "repeat"]
-    copies = stored(copies, "copies")
-    drawn = F.md5(F.concat_ws("/", key, "feature", "repeat", F.lit(seed)))
-    value = F.element_at(F.create_map(*[x for f in fixed.FEATURES
-                                        for x in (F.lit(f), F.col(f))]), F.col("feature"))
-    donors = exact_rank(copies, copy, drawn, "_rank").select(*copy, "_rank", value.alias("_value"))
-    takers = exact_rank(copies, copy, F.md5(key), "_rank")
-    moved = takers.join(donors, [*copy, "_rank"])
-    return moved.select(
-        *[c for c in copies.columns if c not in fixed.FEATURES],
-        *[F.when(F.col("feature") == f, F.col("_value")).otherwise(F.col(f)).alias(f)
-          for f in fixed.FEATURES])
+    ranked_ = stored(exact_rank(rows, ["fold"], F.md5(key), "_rank"), "ranked")
+    sizes = {r.fold: r["count"] for r in ranked_.groupBy("fold").count().collect()}           # a row per fold
+    drawn = (rows.sparkSession.createDataFrame(moves(sizes, repeats, seed), "fold int, feature int, repeat int, a long, b long, n long")
+             .groupBy("fold").agg(F.collect_list(F.struct("feature", "repeat", "a", "b", "n")).alias("m")))
+    sent = (ranked_.join(F.broadcast(drawn), "fold")                # folds x features x repeats numbers
+            .select("fold", "_rank", F.array(*fixed.FEATURES).alias("_x"), F.explode("m").alias("m"))
+            .select("fold", ((F.col("m.a") * (F.col("_rank") - 1) + F.col("m.b")) % F.col("m.n") + 1).alias("_rank"),
+                    F.struct("m.feature", "m.repeat", F.col("_x")[F.col("m.feature")].alias("value")).alias("v"))
+            .groupBy("fold", "_rank").agg(F.collect_list("v").alias("v")))
+    names = F.array(*map(F.lit, fixed.FEATURES))
+    taken = ranked_.join(sent, ["fold", "_rank"]).withColumn("v", F.explode("v"))
+    return taken.select(
+        *[c for c in rows.columns if c not in fixed.FEATURES], names[F.col("v.feature")].alias("feature"), F.col("v.repeat").alias("repeat"),
+        *[F.when(F.col("v.feature") == k, F.col("v.value")).otherwise(F.col(f)).alias(f) for k, f in enumerate(fixed.FEATURES)])
 
 
 def permutation_importance(rows: DataFrame, name: str, folds: int = 5, repeats: int = 10,
                            settings: dict | None = None) -> DataFrame:
     """Loss of weighted F1 when a feature is shuffled, over consistent test rows: mean
-    over repeats, then over folds. One scoring job per fold."""
+    over repeats, then over folds. All folds are scored in one job."""
     rows = with_folds(rows, folds)
-    drops = None
-    for fold, model, test in _fold_models(name, rows, folds, settings or {}):
-        test = test.where("consistency = 1")
-        base = fold_scores(model.predict(test), ["fold"]).select(
-            "fold", F.col("f1_weighted").alias("base"))
-        moved = fold_scores(model.predict(permuted(test, repeats)), ["fold", "feature", "repeat"])
-        part = (moved.join(base, "fold")
-                .groupBy("feature", "fold").agg(F.avg(F.col("base") - F.col("f1_weighted"))
-                                                .alias("drop")))
-        drops = part if drops is None else drops.unionByName(part)
+    models = _fold_models(rows, [name], folds, {name: settings or {}})
+    tested = stored(rows.where("consistency = 1"), "tested")
+    moved = permuted(tested, repeats)
+
+    def scored(cases: DataFrame, by: list[str]) -> DataFrame:
+        said = None
+        for (_, fold), model in models.items():
+            part = model.predict(cases.where(F.col("fold") == fold))
+            said = part if said is None else said.unionByName(part)
+        return fold_scores(said, by)
+    base = scored(tested, ["fold"]).select("fold", F.col("f1_weighted").alias("base"))
+    drops = (scored(moved, ["fold", "feature", "repeat"]).join(base, "fold")
+             .groupBy("feature", "fold").agg(F.avg(F.col("base") - F.col("f1_weighted")).alias("drop")))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance"))

@@ -21,6 +21,7 @@ def build_session(master: str | None = None, app: str = "tablemill", **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.scheduler.mode": "FAIR",               # models of a cross-validation are fitted side by side
         **conf,
     }
     for key, value in settings.items():
