@@ -1159,7 +1159,13 @@ def _(spark, sf):
     return snapshot_of(spark, *records_and_model(spark, sf))["metrics"].where("stage = 'rule'")
 
 
-_RECORD_KEY = F.regexp_extract("page_id", "#([^#]*)$", 1)
+
+
+def record_key() -> Column:
+    """The key of a record, which its page is known by, behind its file's name."""
+    return F.regexp_extract("page_id", "#([^#]*)$", 1)
+
+
 _SHARES = "concat_ws(' ', " + ", ".join(f"round(1000000 * {f}::DOUBLE / n_cells)::BIGINT" for f in fixed.FEATURES) + \
     ", CASE WHEN verdict = 'genuine' THEN 1 ELSE -1 END)"
 _HELD = "(SELECT * FROM ev WHERE table_idx = 0 AND event_id % 19 <> 0)"
@@ -1189,9 +1195,9 @@ def _(spark, sf):
         F.concat_ws(" ", F.col("tp") + F.col("fn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
     gated = held["predictions"].join(held["features"].select(*TABLE_KEY, "consistency"), TABLE_KEY, "left").withColumn(
         "value", F.when(F.col("consistency") == 1, "by the model").otherwise(F.col("prediction")))
-    shown_ = [("verdicts", held["verdicts"], _RECORD_KEY, F.concat("verdict", F.lit(" "), F.coalesce("message", F.lit("")))),
-              ("features", held["features"], _RECORD_KEY, shares), ("failures", held["failures"], _RECORD_KEY, F.col("failure")),
-              ("predictions", gated, _RECORD_KEY, F.col("value")), ("metrics", held["metrics"], F.col("stage"), counts),
+    shown_ = [("verdicts", held["verdicts"], record_key(), F.concat("verdict", F.lit(" "), F.coalesce("message", F.lit("")))),
+              ("features", held["features"], record_key(), shares), ("failures", held["failures"], record_key(), F.col("failure")),
+              ("predictions", gated, record_key(), F.col("value")), ("metrics", held["metrics"], F.col("stage"), counts),
               ("digest", held["digest"], F.lit("records"), F.col("records").cast("string")),
               ("tree", held["tree"].where("bucket = -1"), F.col("part"), F.col("n").cast("string"))]
     out = None

@@ -44,3 +44,15 @@ def test_every_answer_belongs_to_a_query():
 def test_entry(spark):
     got = {(r.kind, r.verdict): r["count"] for r in entry.entry(spark).collect()}
     assert got["order", "genuine"] == 1500 and got["event", "error"] > 0
+
+
+def test_listing_queries_needs_no_session():
+    """The driver lists queries before it has a session."""
+    import subprocess
+    import sys
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True,
+                          cwd=os.path.dirname(os.path.abspath(entry.__file__)))
+    assert done.returncode == 0, done.stderr[-500:]
+    queries, answers = map(int, done.stdout.split()[-2:])
+    assert queries >= answers > 100
