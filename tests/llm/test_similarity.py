@@ -308,6 +308,66 @@ def test_recall_of_passages_with_changed_words(spark):
     assert share[0] >= 60 and share[1] >= 85 and share[2] >= 95
 
 
+def aligned(x, y):
+    """The passages of two lists of words, from every seed they have in common."""
+    x, y = (substrings.word_hashes(" ".join(v)) for v in (x, y))
+    (h, p), (g, q) = substrings.seeds(x), substrings.seeds(y)
+    i, j = np.nonzero(h[:, None] == g[None])
+    return substrings.passages(x, y, p[i], q[j])
+
+
+@pytest.mark.parametrize("gap", [20, 40, 60, 100, 150, 200, 300, 600, 1000])
+def test_two_passages_apart_are_both_found(gap):
+    rng = random.Random(gap)
+    words = [f"w{i}" for i in range(200_000)]
+    one, two = (rng.choices(words, k=100) for _ in range(2))
+    for short in (gap, gap // 3):                        # gaps of one length, and of two
+        x = one + rng.choices(words, k=gap) + two
+        y = rng.choices(words, k=30) + one + rng.choices(words, k=short) + two
+        got = aligned(x, y)
+        for start, end in ((0, 100), (100 + gap, 200 + gap)):
+            assert any(a <= start and end <= b for a, b, *_ in got)
+        assert all(same >= 0.8 * n >= 40 for *_, n, same in got)
+
+
+def test_short_passages_in_a_row_are_all_found():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(200_000)]
+    some = [rng.choices(words, k=60) for _ in range(5)]
+    x, y = ([w for p in some for w in p + rng.choices(words, k=25)] for _ in range(2))
+    held = {at for a, b, *_ in aligned(x, y) for at in range(a, b)}
+    assert held >= {85 * k + i for k in range(5) for i in range(60)}
+
+
+def test_long_gaps_are_aligned():
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(200_000)]
+    middle = rng.choices(words, k=1100)
+    other = [rng.choice(words) if at % 5 == 4 else w for at, w in enumerate(middle)]
+    ends = [rng.choices(words, k=300) for _ in range(2)]
+    got = aligned(ends[0] + middle + ends[1], ends[0] + other + ends[1])
+    assert [r[-1] for r in got] == [600 + 880]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_parts_are_the_longest_alike(seed):
+    rng = random.Random(seed)
+    steps = np.array([(n, n, n) if at % 2 == 0 else (rng.randint(0, n), rng.randint(0, n), 0)
+                      for at in range(21) for n in (rng.randint(1, 30),)])
+
+    def alike(s, e):
+        a, b, n = steps[s:e].sum(axis=0)
+        return s % 2 == 0 and e % 2 == 1 and min(a, b) >= 50 and n >= 0.8 * max(a, b)
+
+    most = max((steps[s:e, 2].sum() for s in range(21) for e in range(s + 1, 22) if alike(s, e)), default=0)
+    got = substrings._parts(steps, 50, 0.8)
+    assert all(alike(s, e) for s, e in got) and max((steps[s:e, 2].sum() for s, e in got), default=0) == most
+    assert all(e <= s or f <= r for s, f in got for r, e in got if (s, f) != (r, e))
+    free = [(s, e) for s in range(21) for e in range(s + 1, 22)
+            if alike(s, e) and all(e <= p or q <= s for p, q in got)]
+    assert not free
+
+
 def plain_chain(a, b, n, cost):
     order = sorted(range(len(a)), key=lambda j: b[j])
     best = {}
@@ -340,7 +400,9 @@ def test_every_long_run_has_a_seed():
         assert (len(at) > 0) == (n >= substrings.K) and (n < substrings.K or gaps.max() <= substrings.WINDOW)
 
 
-def test_common_subsequence():
+@pytest.mark.parametrize("stripe", [3, 4096])
+def test_common_subsequence(monkeypatch, stripe):
+    monkeypatch.setattr(substrings, "STRIPE", stripe)
     rng = random.Random(4)
     for _ in range(100):
         x, y = ([rng.randint(0, 4) for _ in range(rng.randint(0, 9))] for _ in range(2))
