@@ -27,26 +27,30 @@ RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def _covered(hashes: Column) -> Column:
     """Words in 3-word windows that occur twice, of the words' hashes.
 
-    Windows are sorted by hash, so equal ones are neighbours; those that have an
-    equal neighbour are put back in order, and each covers what the next leaves of three words.
+    If windows are not all distinct, they are sorted by hash, so equal ones are neighbours; those that have
+    an equal neighbour are put back in order, and each covers what the next leaves of three words.
     """
     windows = F.transform(
         F.slice(hashes, 1, F.greatest(F.size(hashes) - 2, F.lit(0))),
-        lambda h, i: F.struct(F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"),
-                              i.alias("i")))
+        lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)))
 
     def twice(sorted_: Column) -> Column:
         def known(w: Column, j: Column) -> Column:
             other = F.coalesce(F.get(sorted_, j - 1)["h"] == w["h"], F.lit(False))
             return F.when(other | F.coalesce(F.get(sorted_, j + 1)["h"] == w["h"], F.lit(False)), w["i"])
-        return F.array_sort(F.filter(F.transform(sorted_, known), lambda i: i.isNotNull()))
+        return F.sort_array(F.filter(F.transform(sorted_, known), lambda i: i.isNotNull()))
 
     def total(places: Column) -> Column:
         gaps = F.transform(places, lambda p, j: F.least(
             F.coalesce(F.get(places, j + 1) - p, F.lit(3)), F.lit(3)))
         return F.aggregate(gaps, F.lit(0), lambda s, g: s + g)
 
-    return bind(bind(F.array_sort(windows), twice), total)
+    def covered(each: Column) -> Column:
+        placed = F.transform(each, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(each)) == F.size(each), 0).otherwise(
+            bind(bind(F.sort_array(placed), twice), total))
+
+    return bind(windows, covered)
 
 
 def _hashes(text: Column) -> Column:
@@ -64,12 +68,16 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the counts of ``RULES`` and base_failed; see ``judged``."""
+def rules(docs: DataFrame, text: str = "text", weight: list[float] | None = None) -> DataFrame:
+    """``docs`` with the counts of ``RULES`` and base_failed, and with ``weight`` also llr; see ``judged``.
+
+    A text is cut into words and these are hashed once for all of them.
+    """
     whole = text_of(text)
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = bind(_hashes(whole), lambda h: F.struct(
-        F.size(h).cast("long").alias("n_words"), _covered(h).cast("long").alias("n_repeat_words")))
+        F.size(h).cast("long").alias("n_words"), _covered(h).cast("long").alias("n_repeat_words"),
+        *([] if weight is None else [_mean(weight, h).alias("llr")])))
     out = docs.withColumn("__n", counts)
     n, repeated = F.col("__n.n_words"), F.col("__n.n_repeat_words")
     return out.select(
@@ -78,7 +86,8 @@ def rules(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
-        ((n < MIN_WORDS) | (100 * repeated > MOST_REPEATED * n)).alias("base_failed"))
+        ((n < MIN_WORDS) | (100 * repeated > MOST_REPEATED * n)).alias("base_failed"),
+        *([] if weight is None else [F.col("__n.llr").alias("llr")]))
 
 
 def weights(docs: DataFrame, trusted: DataFrame, text: str = "text") -> list[float]:
@@ -104,15 +113,15 @@ def weights(docs: DataFrame, trusted: DataFrame, text: str = "text") -> list[flo
 
 def ratio(weight: list[float], text: str = "text") -> Column:
     """Mean log likelihood ratio of a text's 1-grams and 2-grams; 0 for a text without words."""
-    table = F.from_json(F.lit("[" + ",".join(f"{w:g}" for w in weight) + "]"), "array<double>")
+    return bind(_hashes(text_of(text)), lambda h: _mean(weight, h))
+
 
-    def mean(h: Column) -> Column:
-        following = F.slice(h, 2, F.greatest(F.size(h), F.lit(1)))
-        each = F.zip_with(h, following, lambda a, b: F.get(table, _bucket(a)) + F.when(
-            b.isNotNull(), F.get(table, _bucket(F.xxhash64(a, b)))).otherwise(0.0))
-        return (F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
-                / F.greatest(2 * F.size(h) - 1, F.lit(1)))
-    return bind(_hashes(text_of(text)), mean)
+def _mean(weight: list[float], h: Column) -> Column:
+    table = F.from_json(F.lit("[" + ",".join(f"{w:g}" for w in weight) + "]"), "array<double>")
+    following = F.slice(h, 2, F.greatest(F.size(h), F.lit(1)))
+    each = F.zip_with(h, following, lambda a, b: F.get(table, _bucket(a)) + F.when(
+        b.isNotNull(), F.get(table, _bucket(F.xxhash64(a, b)))).otherwise(0.0))
+    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.greatest(2 * F.size(h) - 1, F.lit(1))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -166,11 +175,11 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = T
                         .unionByName(bad.select(F.col("doc_id").alias("__id"), F.lit(0).alias("good"))))
     # stored, as the rules would else be counted for every document before the join
     held = rules(stored(docs.select("doc_id", F.col(text).alias("text")).join(
-        sides, F.col("doc_id") == F.col("__id")), "held"))
+        sides, F.col("doc_id") == F.col("__id")), "held"), weight=weight)
     # scores in thousandths: as few counts as there are of these
-    counts = (held.where("not base_failed").groupBy(F.round(ratio(weight), 3).alias("score"))
+    counts = (held.where("not base_failed").groupBy(F.round("llr", 3).alias("score"))
               .agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).collect())
     cut = cut_between([(c["score"], c["good"], c["bad"]) for c in counts], lost)
     threshold = -math.inf if cut is None else round(cut, 6)
-    scored = rules(docs.drop("llr", "kept"), text).withColumn("llr", ratio(weight, text))
+    scored = rules(docs.drop("llr", "kept"), text, weight)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
