@@ -50,9 +50,17 @@ class Chain:
         return rows.drop("__terms", "__bag")
 
 
+def _unnamed(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` without the names of a vector's places: every plan would hold one for each term."""
+    return rows.withColumn(column, F.col(column).alias(column, metadata={}))
+
+
 def _with_earlier(rows: DataFrame, k: int) -> DataFrame:
-    return VectorAssembler(inputCols=["__bag", *[f"__p{i}" for i in range(k)]],
-                           outputCol="__seen").transform(rows)
+    """``rows`` with __seen, the bag and the earlier categories' probabilities."""
+    if not k:
+        return rows.withColumn("__seen", F.col("__bag"))
+    return _unnamed(VectorAssembler(inputCols=["__bag", *[f"__p{i}" for i in range(k)]], outputCol="__seen")
+                    .transform(rows), "__seen")
 
 
 def _probable(model: LogisticRegressionModel, rows: DataFrame, name: str) -> DataFrame:
@@ -100,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, text
     folds = {r["__fold"] for r in rows.select("__fold").distinct().collect()}
     models = []
     for k, c in enumerate(chain):
-        seen = _with_earlier(rows, k)
+        seen = stored(_with_earlier(rows, k), "seen") if k else _with_earlier(rows, k)
         models.append(_fit(seen, f"__is_{c}"))
         parts = None
         for fold in range(FOLDS):
