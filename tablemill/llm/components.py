@@ -38,5 +38,7 @@ def components(links: DataFrame, first: str = "a", second: str = "b") -> DataFra
         before, state = state, mark(edges)
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components still change after {ROUNDS} rounds")
     return (edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
             .union(edges.select("v", "v").distinct()))

@@ -18,11 +18,11 @@ from .components import components
 from .hashing import BINS, TOKENS, binned, mixed, shingles, tokens
 
 #: Independent trees, and how deep a tree may branch.
-TREES, DEPTH = 8, 4
-#: A node of so many sets is compared exhaustively; larger ones branch.
-SMALL = 48
-#: Large nodes need not branch once comparing them takes no more pairs than this for each set of the table.
-PAIRS_EACH = 512
+TREES, DEPTH = 8, 10
+#: A node with so many sets outside its largest component is compared exhaustively; others branch.
+SMALL = 64
+#: Sets of the largest component that the others are held against at a time.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -49,62 +49,69 @@ class Rule:
         return max(0.0, self.least - 5.5 * math.sqrt(self.least * (1 - self.least) / BINS))
 
 
-def _described(k: int):
-    @F.pandas_udf("n long, key binary, tokens binary, sketch binary, bins binary")
+def _described(rule: Rule):
+    """Size, key, the paths on which a set leaves the roots, and its two sketches."""
+    second = 1 / rule.least - 1
+    roots = [(tree, tree) for tree in range(TREES)]
+    roots += [(tree, TREES + tree) for tree in range(TREES) if (tree + 1) * second % 1 < second]
+
+    @F.pandas_udf("n long, key binary, paths array<long>, sketch binary, bins binary")
     def describe(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
-            one = shingles(text, k)
+            one = shingles(text, rule.words)
             if not len(one):
                 out.append((0, None, None, None, None))
                 continue
             least = tokens(one)
             out.append((len(one), hashlib.blake2b(one.tobytes(), digest_size=16).digest(),
-                        least.tobytes(), (mixed(least) & np.uint64(255)).astype(np.uint8).tobytes(),
-                        binned(one).tobytes()))
-        return pd.DataFrame(out, columns=["n", "key", "tokens", "sketch", "bins"])
+                        [_path(tree, c, least[c]) for tree, c in roots],
+                        (mixed(least) & np.uint64(255)).astype(np.uint8).tobytes(), binned(one).tobytes()))
+        return pd.DataFrame(out, columns=["n", "key", "paths", "sketch", "bins"])
     return describe
 
 
+def _path(parent: int, place: int, token: int) -> int:
+    return xxhash.xxh64_intdigest(b"%d/%d/%d" % (parent, place, token)) >> 1
+
+
 def _children(rule: Rule):
     """The paths on which a set leaves a node: one token, and a second so often that 1 / least go
-    on in the mean. Which tokens depends on the path alone, so sets that agree stay together."""
+    on in the mean. Which tokens depends on the path alone, so sets that agree stay together;
+    below the roots, whose tokens are whole, a byte of a token stands for it."""
     second = 1 / rule.least - 1
+    rest = TOKENS - 2 * TREES
 
     @F.pandas_udf("array<long>")
-    def children(paths: pd.Series, sets: pd.Series) -> pd.Series:
+    def children(paths: pd.Series, sketches: pd.Series) -> pd.Series:
         out = []
-        for path, raw in zip(paths, sets):
-            own = np.frombuffer(raw, np.uint64)
-            if path < TREES:                       # roots: every tree begins with tokens of its own
-                chosen = [path]
-                if (path + 1) * second % 1 < second:
-                    chosen.append(TREES + path)
-            else:
-                h = xxhash.xxh64_intdigest(int(path).to_bytes(8, "little", signed=True))
-                rest = TOKENS - 2 * TREES
-                chosen = [2 * TREES + h % rest]
-                if (h >> 20 & 0xFFFFF) / 0x100000 < second:
-                    chosen.append(2 * TREES + (chosen[0] - 2 * TREES + 1 + (h >> 44) % (rest - 1)) % rest)
-            out.append([(xxhash.xxh64_intdigest(b"%d/%d/%d" % (path, c, own[c])) >> 1) | 1 << 62
-                        for c in chosen])
+        for path, own in zip(paths, sketches):
+            h = xxhash.xxh64_intdigest(int(path).to_bytes(8, "little", signed=True))
+            chosen = [2 * TREES + h % rest]
+            if (h >> 20 & 0xFFFFF) / 0x100000 < second:
+                chosen.append(2 * TREES + (chosen[0] - 2 * TREES + 1 + (h >> 44) % (rest - 1)) % rest)
+            out.append([_path(path, c, own[c]) for c in chosen])
         return pd.Series(out)
     return children
 
 
-def _agreement():
+def _agreement(size: int, filled: bool = False):
+    """Share of the bytes of two sketches that agree; of those that one of them fills, if asked."""
     @F.pandas_udf("double")
     def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype="float64")
-        x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, TOKENS)
-        y = np.frombuffer(b"".join(b), np.uint8).reshape(-1, TOKENS)
-        return pd.Series((x == y).mean(axis=1))
+        x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, size)
+        y = np.frombuffer(b"".join(b), np.uint8).reshape(-1, size)
+        if not filled:
+            return pd.Series((x == y).mean(axis=1))
+        return pd.Series(((x == y) & (x > 0)).sum(axis=1) / ((x > 0) | (y > 0)).sum(axis=1))
     return agreement
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked. ``texts`` has (key, text), one row for each key."""
+def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose full sets are linked, after a look at the finer sketches.
+    ``texts`` has (key, text), one row for each key."""
     @F.pandas_udf("boolean")
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
         out, last, x = [], None, None
@@ -116,35 +123,44 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
             out.append(rule.whole * both >= rule.part * (len(x) + len(y) - both))
         return pd.Series(out, dtype="bool")
 
-    asked = stored(pairs, "pairs")
-    needed = asked.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    held = stored(texts.join(needed, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    return stored(
-        asked.join(held.select(F.col("key").alias("b"), F.col("text").alias("right")), "b")
-        .join(held.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
-        .where(linked("left", "right")).select("a", "b"), "links")
+    def beside(rows: DataFrame, held: DataFrame, name: str) -> DataFrame:
+        return (rows.join(held.select(F.col("key").alias("b"), F.col(name).alias("right")), "b")
+                .join(held.select(F.col("key").alias("a"), F.col(name).alias("left")), "a"))
+
+    def needed(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+    finer = _agreement(BINS, filled=True)
+    sketched = classes.select("key", "bins").join(needed(pairs), "key", "left_semi")
+    asked = stored(beside(pairs, sketched, "bins").where(finer("left", "right") >= F.lit(rule.finer))
+                   .select("a", "b"), "asked")
+    read = texts.join(needed(asked), "key", "left_semi")
+    return stored(beside(asked, read, "text").where(linked("left", "right")).select("a", "b"), "links")
 
 
-def _across(members: DataFrame, rule: Rule, tried: DataFrame) -> DataFrame:
-    """Pairs of one node's sets that are not yet in one component and may be linked.
+def _across(members: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of one node's sets that are of different components and may be linked.
 
-    ``members`` has (path, key, root, bins, size). Sets are dealt to blocks, and each pair of
-    blocks is compared on its own; a small node is one block. Rows come sorted by
-    node and pair of blocks, so a task holds one such pair at a time.
+    ``members`` has (path, key, root, sketch, main, size, rest): the root of the node's largest component,
+    the node's sets, and how many of them are of other components. If these are few, the largest component
+    is dealt to blocks and the others go to each of them, which is less rows than the node has; else
+    all sets are dealt, and each pair of blocks is compared. Rows come sorted by node and
+    pair of blocks, so a task holds one such pair at a time.
     """
-    def near(rows: pd.DataFrame) -> list:
-        bins = np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(-1, BINS)
-        key, root = rows["key"].to_numpy(), rows["root"].to_numpy()
-        one, two = np.flatnonzero(rows["left"].to_numpy()), np.flatnonzero(rows["right"].to_numpy())
+    def near(marks, key, root, left, right) -> list:
+        one, two = np.flatnonzero(left), np.flatnonzero(right)
         out = []
         for i in one:
             other = two[root[two] != root[i]]
             if len(other):
-                both = ((bins[other] == bins[i]) & (bins[i] > 0)).sum(axis=1)
-                either = ((bins[other] > 0) | (bins[i] > 0)).sum(axis=1)
-                out += [(min(key[i], key[j]), max(key[i], key[j])) for j in other[both >= rule.finer * either]]
+                close = (marks[other] == marks[i]).mean(axis=1) >= rule.estimate
+                out += [(min(key[i], key[j]), max(key[i], key[j])) for j in other[close]]
         return out
 
+    def columns(rows: pd.DataFrame) -> tuple:
+        return (np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, TOKENS), rows["key"].to_numpy(),
+                pd.factorize(rows["root"])[0], rows["left"].to_numpy(), rows["right"].to_numpy())
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
@@ -152,91 +168,107 @@ def _across(members: DataFrame, rule: Rule, tried: DataFrame) -> DataFrame:
             place = rows[["path", "x", "y"]].to_numpy()
             ends = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
             starts = [0, *ends.tolist()]
-            out = [p for a, b in zip(starts, ends.tolist()) if b - a > 1 for p in near(rows.iloc[a:b])]
+            sides = columns(rows)
+            out = {p for a, b in zip(starts, ends.tolist()) if b - a > 1 for p in near(*(v[a:b] for v in sides))}
             held = rows.iloc[starts[-1]:].reset_index(drop=True)
-            yield pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+            yield pd.DataFrame(sorted(out), columns=["a", "b"])
         if held is not None:
-            yield pd.DataFrame(sorted(set(near(held))), columns=["a", "b"])
-
-    blocks = F.ceil(F.col("size") / SMALL).cast("int")
-    dealt = (members.withColumn("blocks", blocks)
-             .withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-             .select("path", "key", "root", "bins", F.least("own", "other").alias("x"),
-                     F.greatest("own", "other").alias("y"),
-                     (F.col("own") <= F.col("other")).alias("left"),
-                     (F.col("own") >= F.col("other")).alias("right")))
-    found = (dealt.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
-             .mapInPandas(compare, "a binary, b binary").distinct())
-    return found.join(tried, ["a", "b"], "left_anti")
-
-
-def _joined(classes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+            yield pd.DataFrame(sorted(set(near(*columns(held)))), columns=["a", "b"])
+
+    few = F.col("rest") <= SMALL
+    blocks = F.ceil(F.col("size") / F.when(few, BLOCK).otherwise(SMALL)).cast("int")
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    every = F.expr("sequence(0, blocks - 1)")
+    stranger = F.col("root") != F.col("main")
+    dealt = (members.withColumn("blocks", blocks).withColumn("own", own)
+             .withColumn("other", F.explode(F.when(few & ~stranger, F.array("own")).otherwise(every)))
+             .select("path", "key", "root", "sketch",
+                     F.when(few, F.col("other")).otherwise(F.least("own", "other")).alias("x"),
+                     F.when(few, F.col("other")).otherwise(F.greatest("own", "other")).alias("y"),
+                     F.when(few, stranger).otherwise(F.col("own") <= F.col("other")).alias("left"),
+                     F.when(few, ~stranger | (F.col("own") == F.col("other")))
+                     .otherwise(F.col("own") >= F.col("other")).alias("right")))
+    return (dealt.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y")
+            .mapInPandas(compare, "a binary, b binary").distinct())
+
+
+def _joined(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """(node, root) of the classes that are linked with others.
 
-    Level by level: in each node of the trees every set is first held against
-    the node's smallest; what is linked by then is one component. Nodes that still hold
-    several components are compared exhaustively if small and branch on if large;
-    once comparing the large ones too costs little for the table's size, or at the last
-    level, they are compared in blocks as well. So no pair that is connected already is
-    made, and a group of copies costs a pair for each.
+    Level by level: in each node of the trees every set is held against the node's
+    smallest; what is linked by then is one component. Nodes that still hold several
+    components are compared exhaustively once few of their sets are outside the largest one, and
+    branch else, so a level's work is a small number of pairs for each of its rows. No pair
+    that is connected already is made, and a group of copies costs a pair for each. What
+    has not come apart at the last level is compared in blocks, exhaustively too.
     """
-    most = PAIRS_EACH * classes.count()
-    children, agreement = _children(rule), _agreement()
+    children, agreement = _children(rule), _agreement(TOKENS)
     spark = classes.sparkSession
     links = spark.createDataFrame([], "a binary, b binary")
-    tried, roots = links, spark.createDataFrame([], "node binary, root binary")
-    frontier = stored(
-        classes.select("key", "sketch", "tokens", F.explode(F.expr(f"sequence(0L, {TREES - 1}L)")).alias("tree"))
-        .withColumn("path", F.explode(children("tree", "tokens"))).select("path", "key", "sketch"), "level")
-    for level in range(DEPTH):
-        nodes = (frontier.groupBy("path").agg(F.count("*").alias("size"),
-                                              F.min(F.struct("key", "sketch")).alias("first"))
-                 .where("size > 1"))
-        members = stored(frontier.join(nodes, "path"), "members")
-        star = (members.where(F.col("key") != F.col("first.key"))
-                .where(agreement("sketch", F.col("first.sketch")) >= F.lit(rule.estimate))
-                .select(F.col("first.key").alias("a"), F.col("key").alias("b")).distinct()
+    tried = waiting = links
+    roots = spark.createDataFrame([], "node binary, root binary")
+    sketches, texts = classes.select("key", "sketch"), None
+    level = classes.select("key", F.explode("paths").alias("path"))
+    for depth in range(DEPTH):
+        nodes = stored(level.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("first"))
+                       .where("size > 1"), "nodes")
+        members = level.join(nodes, "path")
+        if depth == 0:
+            members = stored(members.join(sketches, "key"), "members")
+            texts = stored(_texts(members.select("key").distinct(), classes, docs), "texts")
+        elif nodes.isEmpty():
+            break
+        firsts = sketches.select(F.col("key").alias("first"), F.col("sketch").alias("smallest"))
+        star = (members.where(F.col("key") != F.col("first")).join(firsts, "first")
+                .where(agreement("sketch", "smallest") >= F.lit(rule.estimate))
+                .select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
                 .join(tried, ["a", "b"], "left_anti"))
         star = stored(star, "star")
         tried = tried.union(star)
-        if star.limit(1).count():
-            links = links.union(_confirmed(star, texts, rule))
+        if not star.isEmpty():
+            links = links.union(_confirmed(star, classes, texts, rule))
             roots = stored(components(links), "roots")
-        own = members.select("path", "key", "sketch", "size").join(
+        own = stored(members.select("path", "key", "sketch", "size").join(
             roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
-            "root", F.coalesce("root", "key"))
-        own = stored(own, "rooted")
-        mixed = (own.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                 .where("low <> high").select("path"))
-        open_ = stored(own.join(mixed, "path").join(classes.select("key", "bins"), "key"), "mixed")
-        large = open_.where(F.col("size") > SMALL)
-        work = large.agg(F.sum("size").alias("pairs")).first()["pairs"] or 0
-        last = level == DEPTH - 1 or work <= most
-        pairs = stored(_across(open_ if last else open_.where(F.col("size") <= SMALL), rule, tried), "across")
-        tried = tried.union(pairs)
-        if pairs.limit(1).count():
-            links = links.union(_confirmed(pairs, texts, rule))
-            roots = stored(components(links), "roots")
-        if last:
+            "root", F.coalesce("root", "key")), "rooted")
+        parts = (own.groupBy("path", "root").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+                 .groupBy("path").agg(F.max(F.struct("n", "root")).alias("top"), F.first("size").alias("size"))
+                 .where("top.n < size")
+                 .select("path", F.col("top.root").alias("main"), (F.col("size") - F.col("top.n")).alias("rest")))
+        mixed = stored(own.join(parts, "path"), "mixed")
+        last = depth == DEPTH - 1
+        now = mixed if last else mixed.where(F.col("rest") <= SMALL)
+        pairs = stored(_across(now, rule).join(tried, ["a", "b"], "left_anti"), "across")
+        tried, waiting = tried.union(pairs), waiting.union(pairs)
+        large = mixed.where(F.col("rest") > SMALL)
+        if last or large.isEmpty():
             break
-        frontier = stored(
-            large.select("path", "key", "sketch").join(classes.select("key", "tokens"), "key")
-            .withColumn("path", F.explode(children("path", "tokens"))).select("path", "key", "sketch")
-            .distinct(), "level")
-    return roots
+        level = stored(large.withColumn("path", F.explode(children("path", "sketch")))
+                       .select("path", "key", "sketch").distinct(), "level")
+    if waiting.isEmpty():
+        return roots
+    return stored(components(links.union(_confirmed(waiting, classes, texts, rule))), "roots")
+
+
+def _texts(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, text): one document's text for each class asked for, so that copies are not gathered."""
+    held = keys.join(classes.select("key", F.col("one.id").alias("id"), F.col("one.text_key").alias("text_key")), "key")
+    read = docs.select(F.col("doc_id").alias("read_id"), F.col("text_key").alias("read_key"), "text")
+    return (read.join(held, (F.col("text_key") == F.col("read_key")) & F.col("id").eqNullSafe(F.col("read_id")))
+            .select("key", "text").dropDuplicates(["key"]))
 
 
 def rooted(docs: DataFrame, rule: Rule, text: str) -> DataFrame:
     """``group`` with __root, the component itself, which tells apart those without doc_id."""
-    new = {"n_shingles", "component_id", "kept"}
-    base = docs.drop(*new)
-    described = stored(base.withColumn("__set", _described(rule.words)(F.col(text))), "sets")
-    filled = described.where(F.col("__set.key").isNotNull())
-    classes = stored(filled.groupBy(F.col("__set.key").alias("key")).agg(
-        F.min("doc_id").alias("doc_id"), F.first("__set.tokens").alias("tokens"),
-        F.first("__set.sketch").alias("sketch"), F.first("__set.bins").alias("bins")), "classes")
-    texts = filled.select(F.col("__set.key").alias("key"), F.col(text).alias("text"))
+    base = docs.drop("n_shingles", "component_id", "kept")
+    held = F.coalesce(F.col(text), F.lit(""))
+    texts = base.select("doc_id", held.alias("text"), F.unhex(F.md5(held)).alias("text_key"))
+    described = stored(texts.withColumn("set", _described(rule)("text")).select("doc_id", "text_key", "set.*"), "sets")
+    filled = described.where(F.col("key").isNotNull())
+    one = F.struct(F.col("doc_id").alias("id"), "text_key")
+    classes = stored(filled.groupBy("key").agg(
+        F.min("doc_id").alias("doc_id"), F.min(one).alias("one"), F.first("paths").alias("paths"),
+        F.first("sketch").alias("sketch"), F.first("bins").alias("bins")), "classes")
     roots = _joined(classes, texts, rule)
     rooted = classes.select("key", "doc_id").join(
         roots.withColumnRenamed("node", "key"), "key", "left")
@@ -244,13 +276,16 @@ def rooted(docs: DataFrame, rule: Rule, text: str) -> DataFrame:
         "key", F.col("key").alias("root"), F.col("doc_id").alias("component_id"))
     shared = rooted.where(F.col("root").isNotNull())
     ids = shared.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = stored(lone.union(shared.join(ids, "root").select("key", "root", "component_id")), "labels")
-    joined = described.join(labels.withColumnRenamed("key", "__key").withColumnRenamed("root", "__root"),
-                            F.col("__set.key") == F.col("__key"), "left")
-    mine = F.when(F.col("__set.key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = joined.withColumn("__mine", mine)
-    return out.select(*columns_of(out, {"__set", "__key", "__root", "__mine", "component_id"}),
-                      F.col("__set.n").alias("n_shingles"), F.col("__mine").alias("component_id"),
+    labels = lone.union(shared.join(ids, "root").select("key", "root", "component_id"))
+    # every text once: copies are gathered before their set's label is looked up
+    known = stored(described.groupBy("text_key").agg(F.first("key").alias("key"), F.first("n").alias("n"))
+                   .join(labels, "key", "left")
+                   .select(F.col("text_key").alias("__key"), F.col("n").alias("__n"), F.col("root").alias("__root"),
+                           F.col("component_id").alias("__component")), "labels")
+    out = base.withColumn("__text", F.unhex(F.md5(held))).join(known, F.col("__text") == F.col("__key"))
+    out = out.withColumn("__mine", F.when(F.col("__n") == 0, F.col("doc_id")).otherwise(F.col("__component")))
+    return out.select(*columns_of(out, {"__text", "__key", "__n", "__root", "__component", "__mine"}),
+                      F.col("__n").alias("n_shingles"), F.col("__mine").alias("component_id"),
                       F.col("doc_id").eqNullSafe(F.col("__mine")).alias("kept"), "__root")
 
 
