@@ -19,6 +19,8 @@ from .hashing import BINS, TOKENS, binned, mixed, shingles, tokens
 
 #: Independent trees, and how deep a tree may branch.
 TREES, DEPTH = 8, 10
+#: Levels from one at which sets are held against their node's smallest to the next.
+STARS = 4
 #: A node with so many sets outside its largest component is compared exhaustively; others branch.
 SMALL = 64
 #: Sets of the largest component that the others are held against at a time.
@@ -195,59 +197,56 @@ def _across(members: DataFrame, rule: Rule) -> DataFrame:
 def _joined(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """(node, root) of the classes that are linked with others.
 
-    Level by level: in each node of the trees every set is held against the node's
-    smallest; what is linked by then is one component. Nodes that still hold several
-    components are compared exhaustively once few of their sets are outside the largest one, and
+    At the first level, and at every ``STARS``th below it, each node's sets are held against
+    its smallest; what is linked by then is one component. Nodes that still hold several
+    components are compared exhaustively if few of their sets are outside the largest one, and
     branch else, so a level's work is a small number of pairs for each of its rows. No pair
-    that is connected already is made, and a group of copies costs a pair for each. What
+    that is connected by then is made, and a group of copies costs a pair for each. What
     has not come apart at the last level is compared in blocks, exhaustively too.
+    Nodes of all levels are compared at the end, in one pass, as are links confirmed.
     """
     children, agreement = _children(rule), _agreement(TOKENS)
     spark = classes.sparkSession
     links = spark.createDataFrame([], "a binary, b binary")
-    tried = waiting = links
-    roots = spark.createDataFrame([], "node binary, root binary")
-    sketches, texts = classes.select("key", "sketch"), None
-    level = classes.select("key", F.explode("paths").alias("path"))
+    tried, small = links, None
+    sketches = stored(classes.select("key", "sketch"), "sketches")
+    paths = classes.select("key", F.explode("paths").alias("path"))
+    met = paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+    # every set is its own root at first
+    level = stored(paths.join(met.select("path"), "path").join(sketches, "key")
+                   .select("path", "key", "sketch", F.col("key").alias("root")), "level")
+    texts = stored(_texts(level.select("key").distinct(), classes, docs), "texts")
     for depth in range(DEPTH):
-        nodes = stored(level.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("first"))
-                       .where("size > 1"), "nodes")
-        members = level.join(nodes, "path")
-        if depth == 0:
-            members = stored(members.join(sketches, "key"), "members")
-            texts = stored(_texts(members.select("key").distinct(), classes, docs), "texts")
-        elif nodes.isEmpty():
-            break
-        firsts = sketches.select(F.col("key").alias("first"), F.col("sketch").alias("smallest"))
-        star = (members.where(F.col("key") != F.col("first")).join(firsts, "first")
-                .where(agreement("sketch", "smallest") >= F.lit(rule.estimate))
-                .select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
-                .join(tried, ["a", "b"], "left_anti"))
-        star = stored(star, "star")
-        tried = tried.union(star)
-        if not star.isEmpty():
-            links = links.union(_confirmed(star, classes, texts, rule))
-            roots = stored(components(links), "roots")
-        own = stored(members.select("path", "key", "sketch", "size").join(
-            roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
-            "root", F.coalesce("root", "key")), "rooted")
-        parts = (own.groupBy("path", "root").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-                 .groupBy("path").agg(F.max(F.struct("n", "root")).alias("top"), F.first("size").alias("size"))
+        if depth % STARS == 0:
+            nodes = level.groupBy("path").agg(F.min("key").alias("first"))
+            firsts = sketches.select(F.col("key").alias("first"), F.col("sketch").alias("smallest"))
+            star = stored(level.join(nodes.join(firsts, "first"), "path")
+                          .where(F.col("key") != F.col("first"))
+                          .where(agreement("sketch", "smallest") >= F.lit(rule.estimate))
+                          .select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
+                          .join(tried, ["a", "b"], "left_anti"), "star")
+            if not star.isEmpty():
+                tried = tried.union(star)
+                links = links.union(_confirmed(star, classes, texts, rule))
+                roots = stored(components(links), "roots")
+                level = (level.drop("root").join(roots.withColumnRenamed("node", "key"), "key", "left")
+                         .withColumn("root", F.coalesce("root", "key")))
+        parts = (level.groupBy("path", "root").agg(F.count("*").alias("n"))
+                 .groupBy("path").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"))
                  .where("top.n < size")
-                 .select("path", F.col("top.root").alias("main"), (F.col("size") - F.col("top.n")).alias("rest")))
-        mixed = stored(own.join(parts, "path"), "mixed")
+                 .select("path", "size", F.col("top.root").alias("main"), (F.col("size") - F.col("top.n")).alias("rest")))
+        mixed = stored(level.join(parts, "path"), "mixed")
         last = depth == DEPTH - 1
         now = mixed if last else mixed.where(F.col("rest") <= SMALL)
-        pairs = stored(_across(now, rule).join(tried, ["a", "b"], "left_anti"), "across")
-        tried, waiting = tried.union(pairs), waiting.union(pairs)
+        small = now if small is None else small.union(now)
         large = mixed.where(F.col("rest") > SMALL)
         if last or large.isEmpty():
             break
         level = stored(large.withColumn("path", F.explode(children("path", "sketch")))
-                       .select("path", "key", "sketch").distinct(), "level")
-    if waiting.isEmpty():
-        return roots
-    return stored(components(links.union(_confirmed(waiting, classes, texts, rule))), "roots")
+                       .select("path", "key", "sketch", "root").distinct(), "level")
+    pairs = stored(_across(small, rule).join(tried, ["a", "b"], "left_anti"), "across")
+    links = links.union(_confirmed(pairs, classes, texts, rule))
+    return stored(components(links), "roots")
 
 
 def _texts(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:

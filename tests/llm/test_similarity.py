@@ -202,6 +202,27 @@ def test_large_nodes_branch_and_lose_nothing(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == plain_groups(items, rule)
 
 
+def test_common_token_branches_over_levels(spark, monkeypatch):
+    """Sets with a large common part meet in hot nodes, which come apart over several levels."""
+    levels = []
+    before = near_dup.stored
+    monkeypatch.setattr(near_dup, "stored", lambda rows, name: levels.append(name) or before(rows, name))
+    monkeypatch.setattr(near_dup, "SMALL", 8)
+    rng = random.Random(5)
+    common = " ".join(f"c{i}" for i in range(60))
+    items = []
+    for i in range(150):
+        own = [f"v{rng.randrange(10 ** 6)}" for _ in range(60)]
+        items.append((2 * i, common + " " + " ".join(own)))
+        if i % 10 == 0:
+            own[rng.randrange(60)] = "changed"
+            items.append((2 * i + 1, common + " " + " ".join(own)))
+    rule = near_dup.Rule(3, 85)
+    got = near_dup.group(make(spark, items), rule).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == plain_groups(items, rule)
+    assert levels.count("level") > 2
+
+
 def test_one_of_each(spark):
     items = corpus(4)
     df = make(spark, items).withColumn("__x", F.lit(1)).withColumn("n_chars", F.lit(3))
