@@ -46,8 +46,6 @@ FEATURES = ["length", "digits", "letters", "blanks", "dots", "dashes", "groups",
 SPELLED = r"[(\[{](?:at|dot)[)\]}]|\x20dot\x20"
 LOOSE = r"\.\x20"
 
-#: Documents, about so many by digest, whose candidates train and calibrate the trees.
-SAMPLE = 20_000
 TREES, DEPTH = 12, 3
 #: Candidates that did not train: from the threshold of a kind on, so many of them are personal data.
 PRECISION = 0.98
@@ -200,8 +198,8 @@ def rewritten(m: Column, kind: Column, word: Column) -> Column:
             (F.substring(bare, 1, 9), False), (F.concat(F.lit("00"), F.substring(bare, 1, 9)), False))))
 
 
-def labelled(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """Distinct (kind, features, is_personal, held, fresh) of candidates of about ``most`` documents, stored.
+def labelled(docs: DataFrame) -> DataFrame:
+    """Distinct (kind, features, is_personal, held, fresh) of candidates of all documents, stored.
 
     Personal are the base spans' candidates and, fresh, those of base spans rewritten in forms that
     the exact patterns do not read. Not personal, and fresh, are the decoys, and candidates
@@ -209,12 +207,8 @@ def labelled(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     digit is wrong, a phone has under 9 or over 15 digits, an e-mail runs on into the next sentence, and
     what is like an address of four numbers but is none. Any other candidate may be either and is left out.
     """
-    total = docs.count()
-    rate = min(1.0, most / max(total, 1))
     digest = F.xxhash64("doc_id", "text")
-    some = stored(docs.where(F.pmod(digest, F.lit(1 << 20)) < F.lit(int(rate * (1 << 20)) + 1))
-                  .select(digest.alias("digest"), text_of().alias("text"), base_spans(text_of()).alias("base"))
-                  .dropDuplicates(["digest"]), "sampled")
+    some = stored(docs.select(digest.alias("digest"), text_of().alias("text"), base_spans(text_of()).alias("base")), "vouched")
 
     def over(b: Column, x: Column) -> Column:
         return (b["s"] < x["e"]) & (b["e"] > x["s"])
@@ -246,10 +240,10 @@ def labelled(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
         (F.pmod(F.shiftright("digest", 23), F.lit(3)) == 0).alias("held")), "candidates")
 
 
-def fit(docs: DataFrame, most: int = SAMPLE) -> Proposer | None:
-    """Trees fitted to two thirds of the sampled documents' candidates, thresholds set on
+def fit(docs: DataFrame) -> Proposer | None:
+    """Trees fitted to two thirds of all documents' candidates, thresholds set on
     the rest, of which only what the exact patterns miss counts; None if only one class was seen."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(labelled(docs, most))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(labelled(docs))
     train = rows.where("not held")
     if train.select("is_personal").distinct().count() < 2:
         return None
@@ -257,7 +251,7 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> Proposer | None:
                           stepSize=0.3, seed=5).fit(train)
     scored = model.transform(rows.where("held and fresh")).select(
         "kind", "is_personal", F.round(vector_to_array("rawPrediction")[1], 6).alias("raw"))
-    # counts of each score: as few as there are ways through the trees, whatever the sample
+    # counts of each score: as few as there are ways through the trees, whatever the input
     counts = scored.groupBy("kind", "raw").agg(F.count("*").alias("n"), F.sum("is_personal").alias("real")).collect()
     limits: list[float | None] = []
     for k in range(len(KINDS)):
@@ -276,7 +270,7 @@ def _listed(spans: Column) -> Column:
         ":", F.get(names, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))))
 
 
-def found(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> DataFrame:
+def found(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with base and spans: sorted arrays of (s, kind, e), in code points of the whole text.
 
     ``base`` is what the exact patterns find; ``spans`` is that and the candidates that
@@ -285,7 +279,7 @@ def found(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> DataFrame:
     Repeated rows agree; columns named like the new ones are replaced; an empty table gives an empty one.
     """
     rows = docs.drop("base", "spans")
-    model = fit(docs.select(F.col("doc_id").alias("doc_id"), F.col(text).alias("text")), most)
+    model = fit(docs.select(F.col("doc_id").alias("doc_id"), F.col(text).alias("text")))
     based = rows.withColumn("__base", base_spans(text_of(text)))
     if model is None or not any(t is not None for t in model.thresholds):
         return based.select(*columns_of(based, {"__base"}), F.col("__base").alias("base"),

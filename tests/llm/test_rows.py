@@ -445,3 +445,10 @@ def test_toxicity_without_labels_or_documents(make, spark):
 def test_threshold_sits_in_the_gap():
     assert toxicity.threshold([0.9, 0.8, 0.2, 0.1], [1, 1, 0, 0]) == pytest.approx(0.5)
     assert toxicity.threshold([0.4, 0.1], [0, 0]) > 1
+
+
+def test_personal_data_is_fitted_to_all_documents(spark):
+    """More documents than a sample once took: each one's match teaches, copies of a row once."""
+    docs = spark.range(25_000).selectExpr("id AS doc_id", "concat('write to user', id, '@example.org soon') AS text")
+    rows = personal.labelled(docs.unionByName(docs.limit(100)))
+    assert rows.where("kind = 0 AND is_personal = 1 AND NOT fresh").count() == 25_000
