@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -75,8 +76,14 @@ def only_formatting_around_form(tags: Column) -> Column:
     return _all_in(tags, fixed.CELL_TAGS + fixed.FORMATTING_TAGS + fixed.FORM_TAGS)
 
 
+def _says_nothing(text: Column) -> Column:
+    """``strip(text)`` is one of the fixed values, by a pattern that fails at the first letter."""
+    values = "|".join(re.escape(v) for v in fixed.NO_DATA_VALUES if v.strip())
+    return text.rlike(rf"\A[{SPACES}]*+(?:{values})?[{SPACES}]*+\z")
+
+
 def is_no_data(tags: Column, text: Column) -> Column:
-    return strip(text).isin(fixed.NO_DATA_VALUES) & only_formatting(tags)
+    return _says_nothing(text) & only_formatting(tags)
 
 
 def is_button(tags: Column) -> Column:
@@ -101,8 +108,10 @@ def is_mixed(tags: Column, text: Column) -> Column:
 
 
 def is_date(text: Column) -> Column:
-    """Every pattern needs a letter, or one or two digits between two separators: one plain test spares most numbers."""
-    return text.rlike(r"\p{L}|[-/.\\ ]\p{Nd}{1,2}[-/.\\ ]") & _any_of(text, fixed.DATE_PATTERNS, ignore_case=True)
+    """Every pattern needs a digit next to a word or behind an apostrophe, or one or two digits between two separators:
+    one plain test spares most texts."""
+    near = rf"\p{{L}}[.,]{{0,2}}[{SPACES}]\p{{Nd}}|\p{{L}}[.,]{{0,2}}[{SPACES}]{{2}}|\p{{Nd}}[{SPACES}]+\p{{L}}|['’]\p{{Nd}}"
+    return text.rlike(near + r"|[-/.\\ ]\p{Nd}{1,2}[-/.\\ ]") & _any_of(text, fixed.DATE_PATTERNS, ignore_case=True)
 
 
 def is_time(text: Column) -> Column:
@@ -110,7 +119,8 @@ def is_time(text: Column) -> Column:
 
 
 def is_money(text: Column) -> Column:
-    return _any_of(text, fixed.MONEY_PATTERNS)
+    """Every pattern needs a sign, or white space before a letter that some currency begins with."""
+    return text.rlike(rf"[$€£¥₽]|[{SPACES}][UEGJRuegjrр]") & _any_of(text, fixed.MONEY_PATTERNS)
 
 
 def is_percent(text: Column) -> Column:
@@ -122,7 +132,8 @@ def is_measurement(text: Column) -> Column:
 
 
 def is_dimension(text: Column) -> Column:
-    return _any_of(text, fixed.DIMENSION_PATTERNS)
+    """A text with anything but digits, white space and these four signs meets no pattern."""
+    return text.rlike(rf"\A[{SPACES}\p{{Nd}}.,+\-]++\z") & _any_of(text, fixed.DIMENSION_PATTERNS)
 
 
 def number_kind(text: Column) -> Column:
@@ -145,7 +156,7 @@ def detail_type(tags: Column, text: Column) -> Column:
     A cell without elements in it, the common case, can meet only the rules about texts.
     """
     bare = (F.size(tags) == 1) & F.get(tags, F.lit(0)).isin(fixed.CELL_TAGS)
-    plain = F.when(strip(text).isin(fixed.NO_DATA_VALUES), "NO_DATA").otherwise(
+    plain = F.when(_says_nothing(text), "NO_DATA").otherwise(
         F.coalesce(number_kind(text), F.when(text.isNotNull(), "STRING"), F.lit("OTHER")))
     return (F.when(bare, plain)
             .when(is_no_data(tags, text), "NO_DATA")

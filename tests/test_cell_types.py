@@ -73,3 +73,26 @@ def test_strip_and_spans(spark):
     assert [r.t for r in rows.select(ct.strip(F.col("t")).alias("t")).collect()] == ["a", "b"]
     spans = spark.createDataFrame([(None,), (" 3 ",), ("x",)], "t string")
     assert [r.s for r in spans.select(ct.parse_span(F.col("t")).alias("s")).collect()] == [1, 3, None]
+
+
+def test_plain_tests_spare_no_match(spark):
+    """The tests put before patterns and in place of ``strip`` change no answer."""
+    import random
+
+    from tablemill import fixed
+    rng = random.Random(5)
+    bits = ["1", "22", "2024", "٣", "март", "March", "Jan", "мая", "SEP", "ſep", ".", ",", " ", "  ", "\u00a0", "\u1680", "\n", "\x85", "\x1f", "'", "’", "/", "-",
+            "+", "$", "₽", "USD", "usd", "руб", "р", "eur", "x", ":", "\\", "n/a", "NA", "—", "н/д", "n/d", "%", "кг"]
+    texts = ["", " ", "-\n", "\n\n—", *{"".join(rng.choice(bits) for _ in range(rng.randint(1, 7))) for _ in range(20000)}]
+    text = F.col("text")
+    plainly = {
+        "date": (ct.is_date(text), ct._any_of(text, fixed.DATE_PATTERNS, ignore_case=True)),
+        "money": (ct.is_money(text), ct._any_of(text, fixed.MONEY_PATTERNS)),
+        "dimension": (ct.is_dimension(text), ct._any_of(text, fixed.DIMENSION_PATTERNS)),
+        "no data": (ct._says_nothing(text), ct.strip(text).isin(fixed.NO_DATA_VALUES))}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for name, (ours, plain) in plainly.items():
+        both = rows.select("text", ours.alias("ours"), plain.alias("plain")).cache()
+        assert [r.text for r in both.where("ours <> plain").collect()] == [], name
+        assert both.where("plain").count() > 5 and both.where("NOT plain").count() > 5
+        both.unpersist()
