@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import stored
 
-#: Bins of a feature, and trees that are added up in an expression before sums so far are written.
+#: Bins of a feature, and trees that are added up anew at each level before sums so far are written.
 BINS, EVERY = 64, 8
+#: Rows that are kept in one block.
+BLOCK = 1 << 16
 
 
 class Preset(NamedTuple):
@@ -74,10 +79,6 @@ def _walk(splits: dict[int, Split], test, leaf, node: int = 1) -> str:
     return f"IF({test(splits[node])}, {right}, {left})"
 
 
-def _by_bin(split: Split) -> str:
-    return f"bins[{split.feature}] > {split.bin}"
-
-
 def _added(trees: list[Tree], test) -> str:
     terms = [_walk(t.splits, test, lambda k, t=t: f"{t.values[k]!r}D") for t in trees]
     return f"aggregate(array({', '.join(terms)}), 0D, (s, x) -> s + x)" if terms else "0D"
@@ -174,17 +175,112 @@ def grown(histogram, preset: Preset, depth: int, rate: float) -> Tree:
     return Tree(splits, values)
 
 
-def _histogram(rows: DataFrame, columns: list[int]):
-    """Sums of a level by (node, feature, bin), added up in the tasks before they are shuffled. At most
-    nodes x features x bins rows come back, whatever the number of tables."""
+_BLOCKS = pa.schema([(c, pa.binary()) for c in ("bins", "target", "weight", "digest", "margin")])
+
+
+def _blocks(binned: DataFrame, start: float) -> DataFrame:
+    """``binned`` (bins, target, weight, digest) as blocks: a row holds the columns of up to ``BLOCK`` rows, and their margins."""
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        columns = [rows["bins"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.uint16),
+                   *[rows[c].to_numpy() for c in ("target", "weight", "digest")], np.full(len(rows), start)]
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], schema=_BLOCKS)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK:
+                yield block(held)
+                held, n = [], 0
+        if n:
+            yield block(held)
+    return binned.mapInArrow(packed, ", ".join(f"{c} binary" for c in _BLOCKS.names))
+
+
+def _opened(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """bins, target, weight, digest, margin of one block after another."""
+    kinds = (np.uint16, np.float64, np.float64, np.int64, np.float64)
+    for batch in batches:
+        for row in zip(*batch.columns):
+            bins, *rest = (np.frombuffer(v.as_buffer(), kind) for v, kind in zip(row, kinds))
+            yield bins.reshape(-1, features), *rest
+
+
+def _nodes(bins: np.ndarray, splits: dict[int, Split]) -> np.ndarray:
+    """The node at which each row ends."""
+    at = np.ones(len(bins), np.int64)
+    size = 2 * max(splits, default=0) + 2
+    feature, cut = np.full(size, -1), np.zeros(size, np.int64)
+    for k, s in splits.items():
+        feature[k], cut[k] = s.feature, s.bin
+    while len(moving := np.flatnonzero(feature[at] >= 0)):
+        node = at[moving]
+        at[moving] = 2 * node + (bins[moving, feature[node]] > cut[node])
+    return at
+
+
+def _margins(bins: np.ndarray, margin: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    """``margin`` with what the trees add to it."""
+    for tree in trees:
+        values = np.zeros(max(tree.values) + 1)
+        for k, value in tree.values.items():
+            values[k] = value
+        margin = margin + values[_nodes(bins, tree.splits)]
+    return margin
+
+
+def _drawn(digest: np.ndarray, k: int, share: float) -> np.ndarray:
+    """Whether tree ``k`` sees a row: by XXH64 of ``k`` from the digest on, as xxhash64 over one more column gives it."""
+    one, two, three, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = digest.view(np.uint64) + five + np.uint64(4)
+    h ^= np.full(1, k, np.uint64) * one
+    h = (h << np.uint64(23) | h >> np.uint64(41)) * two + three
+    h = (h ^ h >> np.uint64(33)) * two
+    h = (h ^ h >> np.uint64(29)) * three
+    return (h ^ h >> np.uint64(32)) % np.uint64(1 << 20) < np.uint64(int(share * (1 << 20)))
+
+
+def _moved(blocks: DataFrame, features: int, trees: list[Tree]) -> DataFrame:
+    """The blocks with margins that hold what the trees add."""
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [_margins(bins, margin, trees).tobytes() for bins, *_, margin in _opened([batch], features)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, pa.binary())], schema=_BLOCKS)
+    return blocks.mapInArrow(moved, blocks.schema)
+
+
+def _histogram(blocks: DataFrame, features: int, columns: list[int], bins_of: int, pending: list[Tree], k: int, share: float):
+    """Sums of a level by (node, feature, bin), in one stage of tasks over whole blocks. No more tasks than cores send
+    theirs, at most nodes x features x bins sums each, whatever the number of tables."""
     def of(splits: dict[int, Split], level: list[int]) -> dict[int, dict]:
-        node = F.expr(_walk(splits, _by_bin, str)).alias("node")
-        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col("bins")[f].alias("bin")) for f in columns]))
-        sums = (rows.select(node, "g", "h", pairs.alias("x")).where(F.col("node").isin(level))
-                .groupBy("node", "x.feature", "x.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")))
+        shape = (len(level), len(columns), bins_of)
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place = np.full(2 * max(level) + 2, -1)
+            place[level] = np.arange(len(level))
+            sums = np.zeros((3, math.prod(shape)))
+            for bins, target, weight, digest, margin in _opened(batches, features):
+                at = place[np.minimum(_nodes(bins, splits), len(place) - 1)]
+                seen = np.flatnonzero(at >= 0 if share >= 1 else (at >= 0) & _drawn(digest, k, share))
+                bins, at, weight = bins[seen], at[seen], weight[seen]
+                with np.errstate(over="ignore"):
+                    p = 1 / (1 + np.exp(-_margins(bins, margin[seen], pending)))
+                g, h = np.nan_to_num(weight * (p - target[seen])), np.nan_to_num(weight * p * (1 - p))
+                for i, f in enumerate(columns):
+                    cell = (at * shape[1] + i) * bins_of + bins[:, f]
+                    for total, of_row in zip(sums, (g, h, None)):
+                        total += np.bincount(cell, of_row, len(total))
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
+        cores = blocks.sparkSession.sparkContext.defaultParallelism
+        sums = np.zeros((3, *shape))
+        for r in blocks.coalesce(cores).mapInArrow(summed, "sums binary").collect():
+            sums += np.frombuffer(r.sums).reshape(sums.shape)
         out: dict[int, dict] = {}
-        for r in sums.collect():
-            out.setdefault(r.node, {})[r.feature, r.bin] = (r.g, r.h, r.n)
+        for i, j, b in np.argwhere(sums[2] > 0).tolist():
+            g, h, n = sums[:, i, j, b].tolist()
+            out.setdefault(level[i], {})[columns[j], b] = (g, h, int(n))
         return out
     return of
 
@@ -206,9 +302,9 @@ def fit(rows: DataFrame, features: list[str], key: list[str], preset: Preset, se
         depth: int = DEPTH, rate: float = RATE, bins: int = BINS) -> Boosted:
     """Boost trees on stored ``rows`` (features, key, target 0 or 1, weight).
 
-    Tables are read as bins; each level of a tree is one aggregation. Every
-    tree draws its features, and its rows by a digest of ``key``. Margins are
-    written every ``EVERY`` trees, so plans stay short and a lost executor costs
+    Tables are read as bins, which are kept in blocks; each level of a tree is one job, and all it computes from
+    a block is numbers. Every tree draws its features, and its rows by a digest of ``key``. Margins are
+    written every ``EVERY`` trees, so a level adds up few trees and a lost executor costs
     few of them. Without rows, or with one label, nothing is cut.
     """
     edges = edges_of(rows, features, bins)
@@ -217,21 +313,16 @@ def fit(rows: DataFrame, features: list[str], key: list[str], preset: Preset, se
         share = rows.agg((F.sum(F.col("weight") * F.col("target")) / F.sum("weight")).alias("p")).first().p or 0.5
         share = min(max(share, 1e-9), 1 - 1e-9)
         start = math.log(share / (1 - share))
-    state = stored(rows.select(*key, _binned(features, edges).alias("bins"), F.col("target").cast("double").alias("target"),
-                               F.col("weight").cast("double").alias("weight"), F.lit(start).alias("margin")), "binned")
+    blocks = stored(_blocks(rows.select(
+        _binned(features, edges).alias("bins"), F.col("target").cast("double").alias("target"),
+        F.col("weight").cast("double").alias("weight"), F.xxhash64(*key, F.lit(seed)).alias("digest")), start), "binned")
     rng, trees, pending = random.Random(seed), [], []
     for k in range(rounds):
         columns = sorted(rng.sample(range(len(features)), math.ceil(preset.columns * len(features))))
-        now = state.withColumn("margin", F.col("margin") + F.expr(_added(pending, _by_bin)))
-        if preset.rows < 1:
-            drawn = F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(k)), F.lit(1 << 20))
-            now = now.where(drawn < int(preset.rows * (1 << 20)))
-        p = 1 / (1 + F.exp(-F.col("margin")))
-        slopes = now.select("bins", (F.col("weight") * (p - F.col("target"))).alias("g"), (F.col("weight") * p * (1 - p)).alias("h"))
-        tree = grown(_histogram(slopes, columns), preset, depth, rate)
+        tree = grown(_histogram(blocks, len(features), columns, bins, pending, k, preset.rows), preset, depth, rate)
         trees.append(tree)
         pending.append(tree)
-        if len(pending) == EVERY:
-            state = stored(state.withColumn("margin", F.col("margin") + F.expr(_added(pending, _by_bin))), "margins")
+        if len(pending) == EVERY and k + 1 < rounds:
+            blocks = stored(_moved(blocks, len(features), pending), "margins")
             pending = []
     return Boosted(features, edges, start, trees)

@@ -138,3 +138,37 @@ def test_nothing_to_cut(spark, table):
     none = stored(table.where("id < 0"), "none")
     made = boosting.fit(none, FEATURES, ["id"], boosting.PRESETS["LightGBM"], 1, rounds=2, depth=2)
     assert table.where(F.expr(made.margin()) > 0).count() == 0
+
+
+def test_rows_are_drawn_by_the_digest_of_their_key(spark):
+    import numpy as np
+    keys = spark.range(2000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("id"), (F.col("id") % 5).cast("string").alias("more"))
+    for k in (0, 7, 199):
+        drawn = F.pmod(F.xxhash64("id", "more", F.lit(42), F.lit(k)), F.lit(1 << 20)) < int(0.8 * (1 << 20))
+        got = keys.select(F.xxhash64("id", "more", F.lit(42)).alias("d"), drawn.alias("drawn")).collect()
+        said = boosting._drawn(np.array([r.d for r in got], np.int64), k, 0.8)
+        assert said.tolist() == [r.drawn for r in got]
+
+
+def test_a_level_is_one_job_of_one_stage(spark, table, monkeypatch):
+    """A tree of depth 3 asks for sums three times; each time the blocks are read once and nothing is shuffled."""
+    monkeypatch.setattr(boosting, "EVERY", 100)
+    context, asked = spark.sparkContext, {}
+    for rounds in (1, 6):
+        group = f"boosting-{rounds}"
+        context.setJobGroup(group, group)
+        boosting.fit(table, FEATURES, ["id"], boosting.PRESETS["XGBoost"], 1, rounds=rounds, depth=3)
+        jobs = [context.statusTracker().getJobInfo(i) for i in context.statusTracker().getJobIdsForGroup(group)]
+        asked[rounds] = len(jobs), sum(len(j.stageIds) for j in jobs)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert asked[6][0] - asked[1][0] <= 5 * 3 and asked[6][1] - asked[1][1] <= 5 * 3
+
+
+def test_blocks_of_any_size_give_the_same_trees(table, monkeypatch):
+    preset = boosting.PRESETS["LightGBM"]
+    one = boosting.fit(table, FEATURES, ["id"], preset, 5, rounds=3, depth=3)
+    monkeypatch.setattr(boosting, "BLOCK", 7)
+    two = boosting.fit(table.repartition(3), FEATURES, ["id"], preset, 5, rounds=3, depth=3)
+    assert [t.splits.keys() for t in one.trees] == [t.splits.keys() for t in two.trees]
+    for a, b in zip(one.trees, two.trees):
+        assert a.values == pytest.approx(b.values)
