@@ -22,13 +22,13 @@ def score_stream(pages: DataFrame, model: GatedModel, out: str, checkpoint: str,
     """Score every table of a stream of pages.
 
     Nothing is kept between batches, and a table that cannot be read only gets a
-    status. Each batch writes its own folder, so a batch repeated after a failure
+    status. The verdict's long expressions are built and resolved once, not for each batch. Each
+    batch writes its own folder, so a batch repeated after a failure
     replaces what it had written: results are exactly once, keyed by table.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        (score(batch, model)
-         .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+    def write(scored: DataFrame, batch_id: int) -> None:
+        scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    writer = (pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = (score(pages, model).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
               .queryName("table scores"))
     return (writer.trigger(availableNow=True) if once else writer).start()

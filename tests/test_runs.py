@@ -235,3 +235,19 @@ def test_snapshots_and_stream(spark, records):
     got = spark.read.parquet(out)
     assert got.select("batch").distinct().count() == 3
     assert got.select(batch.columns).exceptAll(batch).count() == 0 and got.count() == batch.count()
+
+
+def test_a_stream_is_planned_once(spark, records, monkeypatch):
+    """However many batches come, scoring is stated once, and what leaves is what the batch run says."""
+    from tablemill.streaming import score as module
+    pages = tables.labelled_pages(records)
+    model = runs.train(records.where("verification <> 'None'"), "Logistic Regression")
+    asked = []
+    monkeypatch.setattr(module, "score", lambda *a: asked.append(a) or runs.score(*a))
+    source, out = work_folder(spark, "in-once"), work_folder(spark, "out-once")
+    pages.repartition(4).write.parquet(source)
+    stream = module.read_page_stream(spark, source, module.PAGE_SCHEMA.replace("page_id long", "page_id string"), files_per_batch=1)
+    module.score_stream(stream, model, out, work_folder(spark, "cp-once")).awaitTermination()
+    got, batch = spark.read.parquet(out), runs.score(pages, model)
+    assert len(asked) == 1 and got.select("batch").distinct().count() == 4
+    assert got.select(batch.columns).exceptAll(batch).count() == 0 and got.count() == batch.count()
