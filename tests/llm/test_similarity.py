@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablemill.llm import near_dup, neighbours, substrings
+from tablemill.llm import hashing, near_dup, neighbours, substrings
 from tablemill.llm.components import components
 
 SCHEMA = "doc_id long, text string"
@@ -223,6 +223,44 @@ def test_common_token_branches_over_levels(spark, monkeypatch):
     assert levels.count("level") > 2
 
 
+def test_near_copies_of_one_text_are_not_all_looked_up(spark, monkeypatch):
+    """Copies of a text with so many changes that most pairs of them are not linked, but nearly."""
+    rows = {}
+    before = near_dup.stored
+    monkeypatch.setattr(near_dup, "stored", lambda r, name: rows.setdefault(name, []).append(
+        before(r, name)) or rows[name][-1])
+    monkeypatch.setattr(near_dup, "CROWD", 16)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    base, items = rng.choices(words, k=150), []
+    for i in range(240):
+        own = list(base)
+        for place in rng.sample(range(150), rng.choice([2, 4, 6, 8, 10])):
+            own[place] = rng.choice(words)
+        items.append((i, " ".join(own)))
+    rule = near_dup.Rule(3, 85)
+    got = near_dup.group(make(spark, items), rule).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == plain_groups(items, rule)
+    assert sum(r.count() for r in rows["across"]) < 10 * len(items)
+
+
+@pytest.mark.parametrize("rule", [near_dup.Rule(3, 85), near_dup.Rule(), near_dup.Rule(3, 50)])
+def test_linked_sizes_share_a_band(rule):
+    for n in [*range(1, 3000), 20_000]:
+        for m in {n, math.ceil(rule.least * n), (math.ceil(rule.least * n) + n) // 2}:
+            assert set(rule.bands(n)) & set(rule.bands(m))
+
+
+def test_odd_bits_never_differ_more_than_sets():
+    rng = np.random.default_rng(8)
+    for n in (1, 30, 900, 5000):
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        two = np.unique(np.concatenate([one[rng.random(len(one)) < 0.9],
+                                        rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)]))
+        bits = np.bitwise_count(hashing.odd_bits(one) ^ hashing.odd_bits(two)).sum()
+        assert bits <= len(np.setxor1d(one, two)) and hashing.odd_bits(one).nbytes == hashing.ODD // 8
+
+
 def test_one_of_each(spark):
     items = corpus(4)
     df = make(spark, items).withColumn("__x", F.lit(1)).withColumn("n_chars", F.lit(3))
