@@ -470,3 +470,51 @@ def test_common_subsequence(monkeypatch, stripe):
             for j, q in enumerate(y):
                 table[i + 1][j + 1] = table[i][j] + 1 if p == q else max(table[i][j + 1], table[i + 1][j])
         assert substrings._common(np.array(x), np.array(y)) == table[-1][-1]
+
+
+def test_every_two_documents_of_a_passage_meet(spark):
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(20_000)]
+    passage, line = rng.choices(words, k=60), rng.choices(words, k=12)
+    items = [(i, " ".join(rng.choices(words, k=40) + (passage if i < 9 else line) + rng.choices(words, k=40))) for i in range(20)]
+    got = [tuple(sorted((r.doc_a, r.doc_b))) for r in substrings.shared(make(spark, items)).collect()]
+    assert sorted(got) == [(i, j) for i in range(9) for j in range(i + 1, 9)]
+
+
+@pytest.mark.parametrize("block", [4, 128])
+def test_a_passage_of_which_each_half_is_frequent(spark, monkeypatch, block):
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    rng = random.Random(32)
+    words = [f"w{i}" for i in range(20_000)]
+    halves = [rng.choices(words, k=40) for _ in range(2)]
+    items = [(i, " ".join(rng.choices(words, k=30) + halves[i % 2] + rng.choices(words, k=30))) for i in range(40)]
+    for i in (11, 12, 13, 14):                           # others hold but one half, at lower and higher keys
+        items.append((100 + i, " ".join(rng.choices(words, k=30) + halves[0] + halves[1] + rng.choices(words, k=30))))
+    got = {tuple(sorted((r.doc_a, r.doc_b))) for r in substrings.shared(make(spark, items)).collect()}
+    assert got == {(i, j) for i in range(111, 115) for j in range(i + 1, 115)}
+
+
+def test_what_is_left_out_unaligned_has_no_passage(monkeypatch):
+    rng = random.Random(33)
+    words = [f"w{i}" for i in range(3000)]
+    lines = [rng.choices(words, k=n) for n in (8, 14, 25, 33, 41, 47, 55)]
+    first = rng.choices(words, k=10)
+    texts = []
+    for i in range(60):
+        body = list(first)
+        for line in rng.sample(lines, rng.choice([0, 1, 1, 2, 3])):
+            line = list(line)
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                line[rng.randrange(len(line))] = rng.choice(words)
+            body += rng.choices(words, k=rng.choice([0, 2, 6, 40])) + line
+        texts.append(" ".join(body + rng.choices(words, k=rng.choice([0, 3, 60]))))
+    seed = int(substrings.seeds(substrings.word_hashes(" ".join(first)))[0].view("int64")[0])
+
+    def found(few, cut):
+        monkeypatch.setattr(substrings, "FEW", few)
+        return sorted(substrings.meetings(seed, texts, list(range(len(texts))), [[]] * len(texts), cut))
+    texts = [t for t in texts if seed in substrings.seeds(substrings.word_hashes(t))[0].view("int64")]
+    assert len(texts) > 40
+    every = found(-1, 0)
+    assert len(every) > 40 and every == found(32, 0)
+    assert found(32, 20) == [m for m in every if m[0] < 20 <= m[1]]
