@@ -87,3 +87,31 @@ def test_importance_of_one_feature_by_hand(rows):
                          for k in (1, 2)) / 2)
     assert got[feature] == pytest.approx(sum(drops) / 2) and got[feature] > 0.05
     assert set(got) == set(fixed.FEATURES)
+
+
+def test_the_query_fits_every_model_with_all_its_trees(rows, monkeypatch):
+    """200 trees of each preset, 15 levels of the forest: what reaches the fits, not only what is asked for."""
+    from tablemill.operators import boosting
+    from tablemill.plans import registry
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def stages(name, taught, settings, made=learn._stages):
+        if learn.MODELS[name] == "boosting":
+            seen.append((name, settings.get("maxIter", boosting.ROUNDS)))
+        elif name == "Random Forest":
+            forest = made(name, taught, settings)[-1]
+            seen.append((name, forest.getNumTrees(), forest.getMaxDepth()))
+        else:
+            seen.append((name, settings))
+        raise Stop
+    monkeypatch.setattr(learn, "_stages", stages)
+    monkeypatch.setattr(registry, "learning_rows", lambda *_: rows)
+    with pytest.raises(Stop):
+        registry.QUERIES["cross_validation"](rows.sparkSession, "unread")
+    assert {s[0] for s in seen} == set(learn.MODELS)
+    assert set(seen[i][1:] for i in range(len(seen)) if learn.MODELS[seen[i][0]] == "boosting") == {(200,)}
+    assert {s[1:] for s in seen if s[0] == "Random Forest"} == {(200, 15)}
+    assert all(s[1] == {} for s in seen if learn.MODELS[s[0]] in ("rbf", "logistic"))
