@@ -518,3 +518,23 @@ def test_what_is_left_out_unaligned_has_no_passage(monkeypatch):
     every = found(-1, 0)
     assert len(every) > 40 and every == found(32, 0)
     assert found(32, 20) == [m for m in every if m[0] < 20 <= m[1]]
+
+
+def test_copies_are_given_with_every_other_document(spark):
+    rng = random.Random(34)
+    words = [f"w{i}" for i in range(20_000)]
+    passage = rng.choices(words, k=60)
+    copied = [" ".join(rng.choices(words, k=9) + passage), " ".join(passage + rng.choices(words, k=5))]
+    items = [(i, copied[i % 2]) for i in range(8)] + [(8, " ".join(passage)), (0, copied[0])]
+    got = {}
+    for r in substrings.shared(make(spark, items)).collect():
+        a, b = sorted([(r.doc_a, r.a_start, r.a_end), (r.doc_b, r.b_start, r.b_end)])
+        assert (a[0], b[0]) not in got
+        got[a[0], b[0]] = (a[1:], b[1:])
+    at = {0: (9, 69), 1: (0, 60)}
+    other = {(i, j) for i in range(9) for j in range(i + 1, 9) if i % 2 != j % 2 or j == 8}
+    assert other <= set(got)
+    for i, j in other:
+        assert got[i, j] == (at[i % 2], (0, 60) if j == 8 else at[j % 2])
+    for kind in (0, 1):                                  # each copy with the first and the last of its kind
+        assert sum(i % 2 == j % 2 == kind and j < 8 for i, j in got) == 5
